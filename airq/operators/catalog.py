@@ -56,18 +56,19 @@ def dataset_profile(df: DataFrame) -> DataFrame:
     )
 
 
-def _preferred_or_first(
-    df: DataFrame, column: str, preferred: Sequence[str], name: str
-) -> DataFrame:
-    """``preferred`` when its first value occurs, else as many first options."""
-    options = _options(df, column)
-    known = options.agg(F.max(F.col(column) == preferred[0]).alias("known"))
-    first = options.orderBy(column).limit(len(preferred))
-    chosen = first.agg(F.array_sort(F.collect_list(column)).alias("first")).select(
-        F.when(known.scalar(), F.array(*[F.lit(p) for p in preferred]))
-        .otherwise(F.col("first")).alias("chosen")
+def _preferred_or_first(df: DataFrame, column: str, preferred: Sequence[str]) -> DataFrame:
+    """One row with ``preferred`` when its first value occurs, else as many first options.
+
+    The first preferred value sorts before all others, so the few rows that
+    survive the limit tell both whether it occurs and what the first options are.
+    """
+    hit = F.col(column) == preferred[0]
+    first = _options(df, column).orderBy(hit.desc(), column).limit(len(preferred))
+    return first.agg(
+        F.when(F.max(hit), F.array(*[F.lit(p) for p in preferred]))
+        .otherwise(F.array_sort(F.collect_list(column)))
+        .alias("chosen")
     )
-    return _as_selection(chosen, name)
 
 
 def _as_selection(chosen: DataFrame, name: str) -> DataFrame:
@@ -87,13 +88,12 @@ def default_filters(
     of them occurs, else the first two that do), ``years`` (all) and ``state``
     (the preferred one, else the first).
     """
-    years = _options(df, YEAR).agg(F.array_sort(F.collect_list(YEAR)).alias("chosen")).select(
-        F.col("chosen").cast("array<string>").alias("chosen")
-    )
+    years = _options(df, YEAR).agg(F.array_sort(F.collect_list(YEAR)).alias("chosen"))
+    chosen_states = _preferred_or_first(df, STATE, states)
     parts = [
-        _preferred_or_first(df, STATE, states, "states"),
-        _as_selection(years, "years"),
-        _preferred_or_first(df, POLLUTANT, pollutants, "pollutants"),
-        _preferred_or_first(df, STATE, states[:1], "state"),
+        _as_selection(chosen_states, "states"),
+        _as_selection(years.select(F.col("chosen").cast("array<string>")), "years"),
+        _as_selection(_preferred_or_first(df, POLLUTANT, pollutants), "pollutants"),
+        _as_selection(chosen_states.select(F.slice("chosen", 1, 1).alias("chosen")), "state"),
     ]
     return reduce(DataFrame.unionByName, parts)

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from airq.schema import STATE, YEAR
 
-_written: dict[tuple[str, str], tuple[str, object]] = {}
+_kept: dict[tuple[str, str], DataFrame] = {}
 
 
 def work_folder(spark: SparkSession) -> str | None:
@@ -44,23 +46,26 @@ def write_readings(readings: DataFrame, path: str) -> None:
     readings.sortWithinPartitions(YEAR, STATE).write.partitionBy(YEAR).parquet(path)
 
 
-def load_readings(spark: SparkSession, path: str, schema) -> DataFrame:
+def load_readings(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Read what ``write_readings`` wrote, columns in the order of ``schema``."""
     return spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
 
 
-def stored(readings: DataFrame, name: str) -> DataFrame:
-    """The stored copy of ``readings``, written on the first call per session.
+def stored(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The stored copy of ``build()``, written on the first call per session.
 
-    ``name`` identifies the input. Without a shared folder the lazy plan is
-    returned as it is, which gives the same rows without the reuse.
+    ``name`` identifies the input. The frame that reads the copy is kept, so its
+    files are listed once. Without a shared folder the lazy plan is returned as
+    it is, which gives the same rows without the reuse.
     """
-    spark = readings.sparkSession
     key = (spark.sparkContext.applicationId, name)
-    if key not in _written:
-        path = new_folder(spark, "readings")
-        if path is None:
-            return readings
-        write_readings(readings, path)
-        _written[key] = (path, readings.schema)
-    return load_readings(spark, *_written[key])
+    kept = _kept.get(key)
+    if kept is not None and kept.sparkSession is spark:
+        return kept
+    readings = build()
+    path = new_folder(spark, "readings")
+    if path is None:
+        return readings
+    write_readings(readings, path)
+    _kept[key] = load_readings(spark, path, readings.schema)
+    return _kept[key]

@@ -71,7 +71,7 @@ def cleaned_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cleaned table, stored once per session and read back per query."""
-    return stored(cleaned_readings(spark, sf_dir), sf_dir)
+    return stored(spark, sf_dir, lambda: cleaned_readings(spark, sf_dir))
 
 
 def write_raw_csv(raw: DataFrame, path: str) -> None:
