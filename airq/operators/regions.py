@@ -51,12 +51,19 @@ def area_ranking(df: DataFrame, min_readings: int = MIN_READINGS) -> DataFrame:
 
 
 def _areas(df: DataFrame, min_readings: int) -> DataFrame:
+    """Unsorted ``area_ranking``.
+
+    The minimum of a text cannot be kept in a hash aggregation, Spark would sort
+    the readings for it. So they are combined per (area, state) first.
+    """
+    per_pair = df.filter(F.col(AREA).isNotNull()).groupBy(AREA, STATE).agg(
+        F.sum(VALUE).alias("total"), F.count(VALUE).alias("measured")
+    )
     return (
-        df.filter(F.col(AREA).isNotNull())
-        .groupBy(AREA)
+        per_pair.groupBy(AREA)
         .agg(
-            F.avg(VALUE).alias("mean_aqi"),
-            F.count(VALUE).alias("readings"),
+            ratio(F.sum("total"), F.sum("measured")).alias("mean_aqi"),
+            F.sum("measured").alias("readings"),
             F.min(STATE).alias("state"),
         )
         .filter(F.col("readings") >= min_readings)
