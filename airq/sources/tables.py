@@ -1,8 +1,10 @@
 """Readings derived from the star-schema test tables (see FIXTURES.md).
 
-One reading per line item. The joins are plain many-to-one lookups without
-hints: Spark broadcasts a side only when its size is below the session's limit
-and otherwise shuffles, where adaptive execution splits a hot key's partition.
+One reading per line item. Line items and orders, the two largest tables, meet
+in a merge join, where adaptive execution splits the partition of a hot key; the
+hint only keeps Spark from broadcasting a small sample of the line items. The
+other joins are lookups without hints: Spark broadcasts a side when its size is
+below the session's limit and otherwise joins it the same way.
 """
 
 from __future__ import annotations
@@ -42,7 +44,7 @@ def raw_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = F.floor(F.col("l_extendedprice") / 200)
     band = aqi_band(value)
     return (
-        items.join(order_sites, F.col("l_orderkey") == F.col("o_orderkey"))
+        items.join(order_sites.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(parts, F.col("l_partkey") == F.col("p_partkey"))
         .select(
             F.when((F.col("l_quantity") == 7) & (F.col("l_tax") == 0.0), "31-02-2020")
