@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from airq.functions.frames import highest_first, with_row
@@ -164,10 +164,26 @@ def filtered_monthly_mean(
 def preview_rows(df: DataFrame, n: int = 500) -> DataFrame:
     """The newest ``n`` rows, seven columns.
 
-    Readings have no key, so every other column breaks ties on the date.
+    Readings have no key, so every other column breaks ties on the date. Counts
+    per day, which need the date alone, give the earliest day that can still be
+    among the newest ``n`` rows. Only days from there on are read in full and go
+    into the top-n; the comparison reaches parquet, so older files are skipped.
+    Rows without a date come last and always stay candidates.
     """
+    per_day = df.filter(F.col(DATE).isNotNull()).groupBy(DATE).agg(n_rows().alias("readings"))
+    # No partition: one row per calendar day.
+    seen = F.sum("readings").over(
+        Window.orderBy(F.col(DATE).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    )
+    first_day = per_day.withColumn("seen", seen).agg(
+        F.coalesce(F.max(F.when(F.col("seen") >= n, F.col(DATE))), F.min(DATE))
+    )
+    rows = df.select(*PREVIEW_COLUMNS)
+    candidates = rows.filter(F.col(DATE) >= first_day.scalar()).unionAll(
+        rows.filter(F.col(DATE).isNull())
+    )
     ties = [F.col(c).asc_nulls_last() for c in PREVIEW_COLUMNS if c != DATE]
-    return df.select(*PREVIEW_COLUMNS).orderBy(F.col(DATE).desc_nulls_last(), *ties).limit(n)
+    return candidates.orderBy(F.col(DATE).desc_nulls_last(), *ties).limit(n)
 
 
 def preview_count(df: DataFrame) -> DataFrame:

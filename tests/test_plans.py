@@ -13,8 +13,9 @@ from airq.sources import tables
 
 SF = "/root/testdata/sf0.01"
 
-# Column sets of their own, each read once.
-SCANS = {"default_filters": 3, "default_filters_fallback": 3,
+# Column sets of their own, each read once. The preview reads dates first, then the
+# newest days, then the rows without a date.
+SCANS = {"preview_rows": 3, "default_filters": 3, "default_filters_fallback": 3,
          "annual_summary": 2, "annual_summary_text": 2}
 TOP_K = ["worst_state", "best_state", "worst_area", "top_areas", "bottom_areas",
          "state_area_ranking", "top_pollutants", "pollutant_mean", "pollutant_status_matrix",
@@ -86,6 +87,12 @@ def test_only_used_columns_are_read(df, operator, columns):
     assert {field.split(":")[0] for field in schema.split(",") if field} == columns
 
 
+def test_preview_skips_old_files(df):
+    lines = [x for x in final_plan(airq.preview_rows(df, 20)) if x.startswith("FileScan")]
+    assert any(re.search(r"DataFilters: \[.*date#\d+ >= ", x) for x in lines)
+    assert any("ReadSchema: struct<date:date>" in x for x in lines)
+
+
 def test_scan_counter_counts_repeated_scans(df):
     once = df.groupBy("state").count()
     assert scans(once) == 1
