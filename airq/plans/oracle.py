@@ -400,6 +400,11 @@ FROM held ORDER BY season, primary_pollutant""", _top(6), _cells("season")[0]),
         "season_pollutant_grid": _sql(f"""
 SELECT season, primary_pollutant, {_share_of('season')}
 FROM cells ORDER BY season, primary_pollutant""", _top(6), *_cells("season")),
+        "season_pollutant_wide": _sql(
+            "PIVOT grid ON primary_pollutant USING any_value(pct) GROUP BY season ORDER BY season",
+            _top(6), *_cells("season"),
+            f"grid AS (SELECT season, primary_pollutant, {_share_of('season')} FROM cells)",
+        ),
         "state_pollutant_counts": _sql(
             "SELECT state, primary_pollutant, readings FROM cells ORDER BY ALL",
             _top(6), *_cells("state"),

@@ -13,7 +13,7 @@ from airq.operators import catalog, explore, overview, pollutants, regions, tren
 from airq.schema import VALUE
 from airq.sources import tables
 
-# Values of the test tables that stand in for the reference's defaults (FIXTURES.md).
+# Values of the test tables that stand in for the default parameters (FIXTURES.md).
 YEARS = (1996, 1997, 1998)
 STATE = "NATION_0"
 STATES = ("NATION_0", "NATION_1")
