@@ -7,7 +7,6 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airq.functions.measures import percent
 from airq.schema import STATUS_ORDER
 
 
@@ -28,11 +27,8 @@ def with_row(df: DataFrame, one_row: DataFrame, keys: Sequence[str] = ()) -> Dat
     """
     if keys:
         return df.join(one_row, list(keys))
-    names = one_row.columns
-    row = one_row.select(F.struct(*names).alias("row")).scalar()
-    return df.select("*", row.alias("_row")).select(
-        *df.columns, *[F.col("_row")[name].alias(name) for name in names]
-    )
+    row = one_row.select(F.struct("*").alias("row")).scalar()
+    return df.select("*", row.alias("_row")).select("*", "_row.*").drop("_row")
 
 
 def drop_null_key(counted: DataFrame, key: str, count: str) -> DataFrame:
@@ -46,42 +42,37 @@ def drop_null_key(counted: DataFrame, key: str, count: str) -> DataFrame:
     return counted.filter(F.when(F.col(count) >= 0, F.col(key)).isNotNull())
 
 
-def status_rows(wide: DataFrame, keys: Sequence[str], **fields) -> DataFrame:
+def status_rows(wide: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """One row per known status from a frame with one column per status.
 
-    ``fields`` maps an output column to a function of (status, position).
+    ``fields`` holds one SQL text per status with its further columns. A single
+    SQL expression replaces some hundred column objects made one by one.
     """
-    rows = F.array(*[
-        F.struct(
-            F.lit(status).alias("status"),
-            F.lit(i).alias("status_ord"),
-            *[make(status, i).alias(name) for name, make in fields.items()],
-        )
-        for i, status in enumerate(STATUS_ORDER)
-    ])
-    return wide.select(*keys, F.inline(rows))
+    rows = ", ".join(
+        f"struct('{status}' AS status, {i} AS status_ord, {text})"
+        for i, (status, text) in enumerate(zip(STATUS_ORDER, fields))
+    )
+    return wide.selectExpr(*keys, f"inline(array({rows}))")
+
+
+def status_counts_rows(wide: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``status_rows`` with the count of each status as ``readings``."""
+    return status_rows(wide, keys, [f"`{status}` AS readings" for status in STATUS_ORDER])
 
 
 def shares_of(wide: DataFrame, keys: Sequence[str], total: str) -> DataFrame:
     """Status counts turned into percentages of ``total``."""
-    return wide.select(
-        *keys, *[percent(F.col(s), F.col(total)).alias(s) for s in STATUS_ORDER]
-    )
+    shares = [f"try_divide(`{s}`, {total}) * 100 AS `{s}`" for s in STATUS_ORDER]
+    return wide.selectExpr(*keys, *shares)
 
 
 def stack_of(shares: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Lower and upper bound of each status when the shares are stacked."""
-    def height(upto: int) -> Column:
-        total = F.lit(0.0)
-        for status in STATUS_ORDER[:upto]:
-            total = total + F.col(status)
-        return total
-
-    return status_rows(
-        shares, keys,
-        lower=lambda _, i: height(i),
-        upper=lambda _, i: height(i + 1),
-    )
+    heights = ["0D"]
+    for status in STATUS_ORDER:
+        heights.append(f"{heights[-1]} + `{status}`")
+    bounds = [f"{low} AS lower, {high} AS upper" for low, high in zip(heights, heights[1:])]
+    return status_rows(shares, keys, bounds)
 
 
 def highest_first(mean: str, key: str) -> list[Column]:

@@ -20,12 +20,7 @@ def n_status(*statuses: str) -> Column:
 
 def status_counts() -> list[Column]:
     """One count column per known status, named after it."""
-    return [n_status(status).alias(status) for status in STATUS_ORDER]
-
-
-def percent(part: Column, whole: Column) -> Column:
-    """``part / whole * 100``, NULL when there is no whole."""
-    return F.try_divide(part, whole) * 100
+    return [F.expr(f"count_if({STATUS} = '{status}') AS `{status}`") for status in STATUS_ORDER]
 
 
 def ratio(part: Column, whole: Column) -> Column:
@@ -33,6 +28,11 @@ def ratio(part: Column, whole: Column) -> Column:
     return F.try_divide(part, whole)
 
 
+def percent(part: Column, whole: Column) -> Column:
+    """``part / whole * 100``, NULL when there is no whole."""
+    return ratio(part, whole) * 100
+
+
 def key_of_highest(mean: Column, key: Column) -> Column:
     """Key of the highest mean; the smallest key wins a tie, null means never win.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from airq.functions.frames import with_row
@@ -28,42 +28,39 @@ def median_of_counts(
     nothing was counted.
     """
     keys = list(keys)
-    lower_rank = F.expr("(total + 1) div 2")
-    upper_rank = F.expr("total div 2 + 1")
+    partition = f"PARTITION BY {', '.join(keys)}" if keys else ""
+    running = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    # A row that ends at rank ``r`` holds the lower or the upper middle rank.
+    middle = "{r} - {n} < total div 2 + 1 AND {r} >= (total + 1) div 2"
 
     span = counts.groupBy(*keys).agg(
-        F.min(value).alias("lo"), F.max(value).alias("hi"), F.sum(n).alias("total")
+        F.expr(f"min({value}) AS lo"), F.expr(f"max({value}) AS hi"), F.expr(f"sum({n}) AS total")
     )
-    position = F.floor((F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo")) * BUCKETS)
-    placed = with_row(counts, span, keys).select(
+    placed = with_row(counts, span, keys).selectExpr(
         *keys, value, n, "total",
-        F.when(F.col("hi") > F.col("lo"), F.least(position, F.lit(BUCKETS - 1)))
-        .otherwise(0).alias("bucket"),
+        f"CASE WHEN hi > lo THEN least(floor(({value} - lo) / (hi - lo) * {BUCKETS}), {BUCKETS - 1})"
+        " ELSE 0 END AS bucket",
     )
-
-    held = placed.groupBy(*keys, "total", "bucket").agg(F.sum(n).alias("held"))
-    reached = F.sum("held").over(
-        Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    middle = (
-        held.withColumn("reached", reached)
-        .filter((F.col("reached") - F.col("held") < upper_rank) & (F.col("reached") >= lower_rank))
+    middle_buckets = (
+        placed.groupBy(*keys, "total", "bucket")
+        .agg(F.expr(f"sum({n}) AS held"))
+        .selectExpr("*", f"sum(held) OVER ({partition} ORDER BY bucket {running}) AS reached")
+        .filter(middle.format(r="reached", n="held"))
         .groupBy(*keys)
         .agg(
-            F.min("bucket").alias("first_bucket"),
-            F.max("bucket").alias("last_bucket"),
-            F.min(F.col("reached") - F.col("held")).alias("before"),
+            F.expr("min(bucket) AS first_bucket"),
+            F.expr("max(bucket) AS last_bucket"),
+            F.expr("min(reached - held) AS before"),
         )
     )
-
-    rank = F.col("before") + F.sum(n).over(
-        Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    )
     return (
-        with_row(placed, middle, keys)
-        .filter(F.col("bucket").between(F.col("first_bucket"), F.col("last_bucket")))
-        .withColumn("rank", rank)
-        .filter((F.col("rank") - F.col(n) < upper_rank) & (F.col("rank") >= lower_rank))
+        with_row(placed, middle_buckets, keys)
+        .filter("bucket BETWEEN first_bucket AND last_bucket")
+        .selectExpr(
+            *keys, value, n, "total",
+            f"before + sum({n}) OVER ({partition} ORDER BY {value} {running}) AS rank",
+        )
+        .filter(middle.format(r="rank", n=n))
         .groupBy(*keys)
-        .agg(((F.min(value) + F.max(value)) / 2).alias(name))
+        .agg(F.expr(f"(min({value}) + max({value})) / 2 AS {name}"))
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airq.functions.frames import highest_first, lowest_first, status_rows
+from airq.functions.frames import highest_first, lowest_first, status_counts_rows
 from airq.functions.measures import n_rows, n_status, percent, ratio, status_counts
 from airq.schema import (
     AREA,
@@ -14,6 +14,7 @@ from airq.schema import (
     GOOD_STATUSES,
     POLLUTANT,
     STATE,
+    STATUS_ORDER,
     VALUE,
     WORST_STATUS,
 )
@@ -47,7 +48,7 @@ def status_tally(df: DataFrame) -> DataFrame:
     ``df``, also those whose status is missing or unknown.
     """
     wide = df.agg(n_rows().alias("total"), *status_counts())
-    return status_rows(wide, ["total"], readings=lambda status, _: F.col(status))
+    return status_counts_rows(wide, ["total"])
 
 
 def status_counts_table(df: DataFrame) -> DataFrame:
@@ -66,10 +67,8 @@ def status_share_table(df: DataFrame) -> DataFrame:
 def status_pie_share(df: DataFrame) -> DataFrame:
     """Statuses that occur with ``pct`` of the rows whose status is known."""
     wide = df.agg(*status_counts())
-    known = sum(F.col(name) for name in wide.columns)
-    rows = status_rows(
-        wide.withColumn("known", known), ["known"], readings=lambda status, _: F.col(status)
-    )
+    known = " + ".join(f"`{status}`" for status in STATUS_ORDER)
+    rows = status_counts_rows(wide, [f"{known} AS known"])
     return rows.filter("readings > 0").select(
         "status", "status_ord", percent(F.col("readings"), F.col("known")).alias("pct")
     )
