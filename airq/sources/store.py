@@ -11,7 +11,8 @@ from pyspark.sql.types import StructType
 
 from airq.schema import STATE, YEAR
 
-_kept: dict[tuple[str, str], DataFrame] = {}
+# (application, input) -> (path of the copy, frame that reads it)
+_kept: dict[tuple[str, str], tuple[str, DataFrame]] = {}
 
 
 def work_folder(spark: SparkSession) -> str | None:
@@ -52,20 +53,24 @@ def load_readings(spark: SparkSession, path: str, schema: StructType) -> DataFra
 
 
 def stored(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The stored copy of ``build()``, written on the first call per session.
+    """The stored copy of ``build()``, written on the first call per application.
 
-    ``name`` identifies the input. The frame that reads the copy is kept, so its
-    files are listed once. Without a shared folder the lazy plan is returned as
-    it is, which gives the same rows without the reuse.
+    ``name`` identifies the input, which must not change meanwhile. The frame
+    that reads the copy is kept, so its files are listed once per session.
+    Without a shared folder the lazy plan is returned as it is, which gives the
+    same rows without the reuse.
     """
     key = (spark.sparkContext.applicationId, name)
-    kept = _kept.get(key)
-    if kept is not None and kept.sparkSession is spark:
-        return kept
-    readings = build()
-    path = new_folder(spark, "readings")
-    if path is None:
-        return readings
-    write_readings(readings, path)
-    _kept[key] = load_readings(spark, path, readings.schema)
-    return _kept[key]
+    if key in _kept:
+        path, kept = _kept[key]
+        if kept.sparkSession is not spark:
+            kept = load_readings(spark, path, kept.schema)
+    else:
+        readings = build()
+        path = new_folder(spark, "readings")
+        if path is None:
+            return readings
+        write_readings(readings, path)
+        kept = load_readings(spark, path, readings.schema)
+    _kept[key] = (path, kept)
+    return kept

@@ -50,6 +50,10 @@ def test_written_once(spark):
 
     first, second = (store.stored(spark, "once", build) for _ in range(2))
     assert len(calls) == 1 and first is second
+    other = spark.newSession()
+    third = store.stored(other, "once", build)
+    assert len(calls) == 1 and third.sparkSession is other
+    assert third.count() == first.count()
     want = tables.cleaned_readings(spark, SF)
     assert first.schema == want.schema
     assert sorted(tuples(first), key=str) == sorted(tuples(want), key=str)
