@@ -27,7 +27,7 @@ from airq.operators.overview import (
     national_kpis,
     pollutant_share,
     severe_share,
-    status_counts_table,
+    status_counts,
     status_pie_share,
     status_share_table,
     worst_area,

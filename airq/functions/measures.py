@@ -18,7 +18,7 @@ def n_status(*statuses: str) -> Column:
     return F.count_if(F.col(STATUS).isin(*statuses))
 
 
-def status_counts() -> list[Column]:
+def counts_by_status() -> list[Column]:
     """One count column per known status, named after it."""
     return [F.expr(f"count_if({STATUS} = '{status}') AS `{status}`") for status in STATUS_ORDER]
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from airq.functions.frames import highest_first, with_row
 from airq.functions.measures import n_rows, percent, ratio
 from airq.functions.median import median_of_counts
-from airq.operators.overview import mean_by, monthly_mean, status_counts_table
+from airq.operators.overview import mean_by, monthly_mean, status_counts
 from airq.schema import (
     DATE,
     GOOD_STATUSES,
@@ -140,8 +140,8 @@ def filtered_histogram(
 def filtered_status_counts(
     df: DataFrame, states: Sequence[str], years: Sequence[int], pollutants: Sequence[str]
 ) -> DataFrame:
-    """``status_counts_table`` of a selection."""
-    return status_counts_table(filter_readings(df, states, years, pollutants))
+    """``status_counts`` of a selection."""
+    return status_counts(filter_readings(df, states, years, pollutants))
 
 
 def state_comparison(

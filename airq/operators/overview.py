@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from airq.functions.frames import highest_first, lowest_first, status_counts_rows
-from airq.functions.measures import n_rows, n_status, percent, ratio, status_counts
+from airq.functions.measures import counts_by_status, n_rows, n_status, percent, ratio
 from airq.schema import (
     AREA,
     DATE,
@@ -47,11 +47,11 @@ def status_tally(df: DataFrame) -> DataFrame:
     One pass and one row through the shuffle; ``total`` counts every row of
     ``df``, also those whose status is missing or unknown.
     """
-    wide = df.agg(n_rows().alias("total"), *status_counts())
+    wide = df.agg(n_rows().alias("total"), *counts_by_status())
     return status_counts_rows(wide, ["total"])
 
 
-def status_counts_table(df: DataFrame) -> DataFrame:
+def status_counts(df: DataFrame) -> DataFrame:
     """``status, status_ord, readings`` of the statuses that occur."""
     return status_tally(df).filter("readings > 0").drop("total")
 
@@ -66,7 +66,7 @@ def status_share_table(df: DataFrame) -> DataFrame:
 
 def status_pie_share(df: DataFrame) -> DataFrame:
     """Statuses that occur with ``pct`` of the rows whose status is known."""
-    wide = df.agg(*status_counts())
+    wide = df.agg(*counts_by_status())
     known = " + ".join(f"`{status}`" for status in STATUS_ORDER)
     rows = status_counts_rows(wide, [f"{known} AS known"])
     return rows.filter("readings > 0").select(

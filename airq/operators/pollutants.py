@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from airq.functions.frames import drop_null_key, highest_first, spine
-from airq.functions.measures import n_rows, percent, status_counts
+from airq.functions.measures import counts_by_status, n_rows, percent
 from airq.schema import (
     FACT_POLLUTANTS,
     POLLUTANT,
@@ -57,7 +57,7 @@ def pollutant_mean(df: DataFrame, n: int = 10) -> DataFrame:
 def pollutant_status_matrix(df: DataFrame, n: int = 8) -> DataFrame:
     """``primary_pollutant`` and one count column per known status, absent = 0."""
     stats = _named(df).groupBy(POLLUTANT).agg(
-        n_rows().alias("readings"), F.count(STATUS).alias("labelled"), *status_counts()
+        n_rows().alias("readings"), F.count(STATUS).alias("labelled"), *counts_by_status()
     )
     return (
         _most_frequent(stats, n)

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from airq.functions.cells import month_label
 from airq.functions.frames import highest_first, shares_of, spine, stack_of
 from airq.functions.measures import (
+    counts_by_status,
     key_of_highest,
     n_rows,
     n_status,
     percent,
     ratio,
-    status_counts,
 )
 from airq.functions.median import median_of_counts
 from airq.operators.overview import mean_by
@@ -72,7 +72,7 @@ def season_status_share(df: DataFrame) -> DataFrame:
 def _status_shares(df: DataFrame, key: str, total: Column) -> DataFrame:
     """``key`` and six percentages; keys that only have null statuses are left out."""
     wide = df.groupBy(key).agg(
-        total.alias("total"), F.count(STATUS).alias("labelled"), *status_counts()
+        total.alias("total"), F.count(STATUS).alias("labelled"), *counts_by_status()
     )
     return shares_of(wide.filter("labelled > 0"), [key], "total")
 

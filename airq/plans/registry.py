@@ -45,7 +45,7 @@ OPERATORS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "default_filters": lambda df: catalog.default_filters(df, STATES, POLLUTANTS),
     "default_filters_fallback": catalog.default_filters,
     "national_kpis": overview.national_kpis,
-    "status_counts": overview.status_counts_table,
+    "status_counts": overview.status_counts,
     "status_share_table": overview.status_share_table,
     "status_pie_share": overview.status_pie_share,
     "monthly_mean": overview.monthly_mean,

@@ -73,7 +73,7 @@ def test_a_season_with_null_statuses_only_has_no_row(frame):
 
 def test_absent_statuses_are_left_out_of_counts_but_not_of_the_table(frame):
     df = frame([reading(JAN, "A", "a", 1, "Poor")])
-    assert tuples(airq.status_counts_table(df)) == [("Poor", 3, 1)]
+    assert tuples(airq.status_counts(df)) == [("Poor", 3, 1)]
     assert tuples(airq.status_pie_share(df)) == [("Poor", 3, 100.0)]
     assert [r[2] for r in tuples(airq.status_share_table(df))] == [0, 0, 0, 1, 0, 0]
 

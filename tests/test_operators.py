@@ -123,7 +123,7 @@ def test_status_tables(sample, sample_df):
     counts = Counter(map(status, sample))
     known = sum(counts[s] for s in STATUS_ORDER)
     order = list(enumerate(STATUS_ORDER))
-    assert tuples(airq.status_counts_table(sample_df)) == [(s, i, counts[s]) for i, s in order]
+    assert tuples(airq.status_counts(sample_df)) == [(s, i, counts[s]) for i, s in order]
     close(tuples(airq.status_share_table(sample_df)),
           [(s, i, counts[s], counts[s] / len(sample) * 100) for i, s in order])
     close(tuples(airq.status_pie_share(sample_df)),
