@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airq.llm import exact, ring, simhash, suffix, tokens, urls, words
+from airq.llm import decontam, exact, mixing, quality, ring, simhash, suffix, tokens, urls, words
 from airq.llm.shared import documents
 
 #: The rules of the url query, as (host, path, verdict).
@@ -20,6 +20,8 @@ URL_RULES = (
 )
 TOKENIZER = "word_bpe_49k.json"
 N_SHARDS = 16
+#: Target shares of the expected tokens, by language.
+DOMAIN_WEIGHTS = {"en": 0.55, "fr": 0.15, "de": 0.15, "es": 0.15}
 
 
 def tokenizer_path() -> str:
@@ -37,6 +39,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.with_groups(docs, groups)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(documents(spark, sf_dir))
 
@@ -62,15 +68,27 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.substring_dedup(documents(spark, sf_dir)).drop("kept_text")
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages are the domains; those of the labelled documents are trusted."""
+    return mixing.mixture(documents(spark, sf_dir), documents(spark, sf_dir, "labels"), DOMAIN_WEIGHTS)
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op2_decontamination": op2_decontamination,
         "op3_simhash": op3_simhash,
         "op4_ring_shards": op4_ring_shards,
         "op5_suffix_dedup": op5_suffix_dedup,
         "op6_token_shards": op6_token_shards,
         "op7_url_filter": op7_url_filter,
         "op8_substring_dedup": op8_substring_dedup,
+        "op9_mixing": op9_mixing,
+        "op10_quality": op10_quality,
     }
 
 
