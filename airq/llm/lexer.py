@@ -27,6 +27,14 @@ class Lexed(NamedTuple):
     start: np.ndarray  # of each row's text, and the end of the last
     word: np.ndarray  # hash of each word
     doc: np.ndarray  # row of each word, counted from the first of ``rows``
+    sums: np.ndarray
+    low: np.ndarray  # bytes of each word
+    high: np.ndarray
+
+    def stems(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """``doc, hash`` of the first ``size`` bytes of the words that are longer."""
+        long = np.flatnonzero(self.high - self.low > size)
+        return self.doc[long], spans(self.sums, self.low[long], self.low[long] + size)
 
 
 def lexed(texts: pa.Array, size: int = CHUNK) -> Iterator[Lexed]:
@@ -51,8 +59,9 @@ def _piece(bodies: list[bytes], first: int, end: int) -> Lexed:
     if inside[0]:
         edge = np.append(0, edge)
     low, high = edge[::2], edge[1::2]
-    word = spans(prefix(data), low, high)
-    return Lexed(range(first, end), data, start, word, np.searchsorted(start, low, side="right") - 1)
+    sums = prefix(data)
+    doc = np.searchsorted(start, low, side="right") - 1
+    return Lexed(range(first, end), data, start, spans(sums, low, high), doc, sums, low, high)
 
 
 def distinct_words(piece: Lexed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

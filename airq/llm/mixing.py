@@ -39,6 +39,8 @@ class Domains(NamedTuple):
 
     def shares(self, doc: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
         """Chance of every domain for each of ``n`` documents; the prior where there are no words."""
+        if not self.names:
+            return np.zeros((n, 0))
         words = np.bincount(doc, minlength=n)
         total = np.stack([np.bincount(doc, weights=self.weights[feature, k], minlength=n) for k in range(len(self.names))], axis=1)
         odds = total / np.maximum(words, 1)[:, None] * np.minimum(words, EVIDENCE)[:, None] + self.prior

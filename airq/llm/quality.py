@@ -1,8 +1,8 @@
 """Quality classifier: weak-label models over heuristics, and a hashed linear scorer.
 
 A document can be bad in its form or by insults. For either fault, overlapping
-labellers vote good, bad or nothing: some look at the form, one at a lexicon of words that
-mark toxic rows of the labelled table, and the table itself votes where it covers a
+labellers vote good, bad or nothing: some look at the form, one at a lexicon of words and stems
+that mark toxic rows of the labelled table, and the table itself votes where it covers a
 document. Expectation-maximisation estimates, without true classes, how often
 each labeller votes which way on good and on bad documents; only the counts of
 distinct vote patterns are needed. The soft label of a document is the chance that it has
@@ -27,6 +27,8 @@ from airq.llm.shared import need, packed, unpacked, written
 GOOD, NONE, BAD = 1, 0, -1
 #: Documents that the scorer is fitted on, at most; they are the ones with the least hash of their id.
 SAMPLE = 10_000
+#: Labelled documents that the lexicon is taken from, at most, and the bytes of stems.
+LEXICON_SAMPLE, STEMS = 6_000, (5, 6, 7)
 #: Hashed features, and the sampled documents a feature must occur in to be used.
 FEATURES, SUPPORT = 1 << 18, 4
 THRESHOLD = 0.5
@@ -80,10 +82,20 @@ def judged(texts: pa.Array) -> Iterator[tuple[Lexed, np.ndarray]]:
         yield piece, form_votes(piece, upper[piece.rows.start:piece.rows.stop])
 
 
+def marks_of(piece: Lexed) -> tuple[np.ndarray, np.ndarray]:
+    """``doc, hash`` of every word and of its stems, from which a lexicon is taken."""
+    parts = [(piece.doc, piece.word), *[piece.stems(size) for size in STEMS]]
+    return np.concatenate([d for d, _ in parts]), np.concatenate([h for _, h in parts])
+
+
 def insult_votes(piece: Lexed, lexicon: np.ndarray) -> np.ndarray:
-    """Bad for documents with a word of the lexicon (ascending hashes), good for others."""
-    hit = np.isin(piece.word, lexicon)
-    return np.where(np.bincount(piece.doc[hit], minlength=len(piece.rows)) > 0, BAD, GOOD)
+    """Bad for documents with a word or stem of the lexicon (ascending hashes), good for others."""
+    doc, mark = marks_of(piece)
+    if not len(lexicon):
+        return np.full(len(piece.rows), NONE)
+    place = np.minimum(np.searchsorted(lexicon, mark), len(lexicon) - 1)
+    hit = doc[lexicon[place] == mark]
+    return np.where(np.bincount(hit, minlength=len(piece.rows)) > 0, BAD, GOOD)
 
 
 def _signs(votes: np.ndarray) -> list[str]:
@@ -223,10 +235,10 @@ def _gathered(sample: DataFrame, make, width: int) -> list[np.ndarray]:
 
 
 def find_lexicon(doc: np.ndarray, word: np.ndarray, toxic: np.ndarray, support: int = 4, share: float = 0.9) -> np.ndarray:
-    """Words of which ``share`` of the documents are toxic, and at least ``support`` documents are.
+    """Words and stems of which ``share`` of the documents are toxic, and at least ``support`` documents are.
 
     Documents that share their least word hash are mostly copies of one another and
-    count once. The support rises until fewer than one word in ten such lists would pass by chance.
+    count once. The support rises until less than one word is expected to pass by chance.
     """
     if not len(doc):
         return word[:0].astype(np.uint64)
@@ -238,7 +250,7 @@ def find_lexicon(doc: np.ndarray, word: np.ndarray, toxic: np.ndarray, support:
     known, at = np.unique(word, return_inverse=True)
     hits = np.bincount(at, weights=toxic[doc], minlength=len(known))
     seen = np.bincount(at, minlength=len(known))
-    while toxic.mean() ** support * (seen >= support).sum() > 0.1 and support < 64:
+    while toxic.mean() ** support * (seen >= support).sum() > 1 and support < 64:
         support += 1
     return known[(hits >= support) & (hits >= share * seen)]
 
@@ -247,7 +259,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Quality:
     """Fit the lexicon, both label models and the scorer.
 
     Vote patterns are counted over all documents (at most 3 ** 8 counts). The lexicon
-    is taken from about ``sample`` labelled documents at most, and the scorer is fitted on about
+    is taken from about ``LEXICON_SAMPLE`` labelled documents at most, and the scorer is fitted on about
     ``sample`` documents at most; both are chosen by a hash of their id.
     """
     need(docs, "doc_id", "text")
@@ -259,10 +271,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Quality:
         for batch in batches:
             toxic = np.array([t[1] == "-" for t in batch.column("table").to_pylist()], dtype=float)
             for piece in lexed(batch.column("text")):
-                doc, word, _ = distinct_words(piece)
-                yield pa.record_batch({"payload": [packed(doc.astype(np.int32), word, toxic[piece.rows.start:piece.rows.stop])]})
+                doc, mark = marks_of(piece)
+                order = np.lexsort((mark, doc))
+                order = order[run_starts(doc[order], mark[order])]
+                yield pa.record_batch({"payload": [packed(doc[order].astype(np.int32), mark[order], toxic[piece.rows.start:piece.rows.stop])]})
 
-    known = _sampled(table.select(F.col("labelled").alias("row"), "table").filter("row IS NOT NULL"), sample, table.count())
+    known = _sampled(table.select(F.col("labelled").alias("row"), "table").filter("row IS NOT NULL"), LEXICON_SAMPLE, table.count())
     lexicon = find_lexicon(*_gathered(rows.join(known, "row").select("text", "table"), words, 3))
 
     def vote(batches):

@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from airq.llm.shared import need, partitions, written
+from airq.llm.shared import free_name, need, partitions, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -134,8 +134,7 @@ def url_filter(
         .select("host", "path", F.struct(F.length("top.rule").alias("n"), "top.rule", "top.verdict").alias("top"))
         .groupBy("host", "path").agg(F.max("top").alias("top"))
     )
-    return (
-        judged.join(best, ["host", "path"], "left")
-        .select(*[judged[f"`{c}`"] for c in judged.columns], F.col("top.rule").alias("rule"),
-                F.coalesce("top.verdict", F.lit(default)).alias("verdict"))
-    )
+    name = free_name(judged, "top")
+    return judged.join(best.withColumnRenamed("top", name), ["host", "path"], "left").select(
+        *[judged[f"`{c}`"] for c in judged.columns], F.col(f"{name}.rule").alias("rule"),
+        F.coalesce(f"{name}.verdict", F.lit(default)).alias("verdict"))
