@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 NO_ID = np.iinfo(np.int64).max
 
 
+#: Folders chosen for local sessions without a setting, by application.
+_own: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``.
 
@@ -28,8 +32,8 @@ def shared_folder(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="llm-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _own.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="llm-")
+        _own[spark.sparkContext.applicationId] = base
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 

@@ -41,10 +41,14 @@ from airq.llm.shared import NO_ID, need, packed, partitions, shared_folder, text
 
 MAGIC, HEAD = b"TOKS1\0", "<6sHQQQ"
 #: Words whose ids a worker remembers, about 200 bytes each.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 MANIFEST = "shard int, path string, n_docs long, n_ids long, first_id long, last_id long"
 
 
+def _letters(word: bytes) -> bool:
+    return word.isalpha() if word.isascii() else word.decode("utf-8", "surrogatepass").isalpha()
+
+
 class Encoder:
     """Ids of texts as packed integers.
 
@@ -62,6 +66,9 @@ class Encoder:
         self.dtype = np.dtype("<u2" if top < 1 << 16 else "<u4")
         self.end = b"" if end_id is None else np.array([end_id], dtype=self.dtype).tobytes()
         self.known: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(top + 1, dtype=bool)  # ids that end a word
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.by_words = not whole and self.splits()
 
     def splits(self) -> bool:
@@ -73,21 +80,39 @@ class Encoder:
         found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in found]
 
+    def _encoded_letters(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of letters: some hundred in one text, cut where ids end a word."""
+        groups = [words[i:i + 200] for i in range(0, len(words), 200)]
+        out = []
+        for group, e in zip(groups, self.tokenizer.encode_batch([b" ".join(g).decode("utf-8", "surrogatepass") for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, dtype=self.dtype)
+            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+            if len(ends) != len(group) or ends[-1] != len(ids):
+                out += self._encoded([w.decode("utf-8", "surrogatepass") for w in group])
+                continue
+            data, size = ids.tobytes(), self.dtype.itemsize
+            out += [data[a * size:b * size] for a, b in zip([0, *ends], ends)]
+        return out
+
     def _learn(self, words: list[bytes]) -> None:
-        """Ids of new words. A lower-case ASCII word and its trailing punctuation are looked up apart."""
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known = {}
-        parts = {}
-        for w in words:
-            lower = w.lower()
-            core = lower.rstrip(b".,;:!?#$%&*|")
-            parts[w] = (core, lower[len(core):]) if core.isalpha() and w.isascii() else (w, b"")
-        new = [p for p in dict.fromkeys(p for pair in parts.values() for p in pair) if p and p not in self.known]
-        found = dict(zip(new, self._encoded([p.decode("utf-8", "surrogatepass") for p in new])))
+        """Ids of new words. Letters and the punctuation behind them are looked up apart, ASCII in lower case."""
+        parts, new = [], {}
         known = self.known
-        for w, pair in parts.items():
-            known[w] = b"".join([found[p] if p in found else known[p] for p in pair if p])
-        known.update(found)
+        for w in words:
+            text = w.lower() if w.isascii() else w
+            core = text.rstrip(b".,;:!?#$%&*|")
+            pair = (core, text[len(core):]) if _letters(core) else (w, b"")
+            parts.append(pair)
+            for p in pair:
+                if p not in known:
+                    new[p] = None
+        new.pop(b"", None)
+        plain = [p for p in new if _letters(p)]
+        other = [p for p in new if not _letters(p)]
+        known.update(zip(plain, self._encoded_letters(plain)))
+        known.update(zip(other, self._encoded([p.decode("utf-8", "surrogatepass") for p in other])))
+        for w, (core, rest) in zip(words, parts):
+            known[w] = known[core] + known[rest] if core and rest else known[core or rest]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_words:
@@ -95,12 +120,10 @@ class Encoder:
         out = []
         for at in range(0, len(texts), 256):
             split = [t.encode("utf-8", "surrogatepass").split() for t in texts[at:at + 256]]
-            new = set().union(*split).difference(self.known) if split else set()
-            if new:
-                kept = self.known
-                self._learn(sorted(new))
-                if self.known is not kept:  # it was emptied: learn all words of these texts
-                    self._learn(sorted(set().union(*split).difference(self.known)))
+            new = set().union(*split).difference(self.known)
+            if len(self.known) + len(new) > REMEMBERED:
+                self.known, new = {}, set().union(*split)
+            self._learn(sorted(new))
             get = self.known.__getitem__
             out += [b"".join(map(get, words)) + self.end for words in split]
         return out
