@@ -49,8 +49,9 @@ def parse_day_first(cell: Column, formats: Sequence[str] = DATE_FORMATS) -> Colu
 
 
 def to_number(cell: Column) -> Column:
-    """DOUBLE from decimal text, NULL for anything else."""
-    return F.when(cell.rlike(NUMBER_PATTERN), cell.try_cast("double"))
+    """DOUBLE from decimal text, NULL for anything else and for what overflows."""
+    number = cell.try_cast("double")
+    return F.when(cell.rlike(NUMBER_PATTERN) & (F.abs(number) < float("inf")), number)
 
 
 def to_count(cell: Column) -> Column:

@@ -4,28 +4,50 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from airq.functions.frames import with_row
 
-BUCKETS = 1024
+#: Values are dealt into COARSE * COARSE buckets.
+COARSE = 32
+ACCURACY = 20_000
+
+
+def cuts_of(value: str, n: str) -> list[Column]:
+    """Aggregates that ``median_of_counts`` needs: bounds of the buckets, and the total.
+
+    The bounds are approximate percentiles of the distinct values, so buckets hold about
+    as many distinct values each, wherever these lie.
+    """
+    parts = COARSE * COARSE
+    shares = ", ".join(f"{i / parts}D" for i in range(1, parts))
+    return [
+        F.expr(f"percentile_approx({value}, array({shares}), {ACCURACY}) AS cuts"),
+        F.expr(f"sum(IF({value} IS NULL, 0, {n})) AS total"),
+    ]
 
 
 def median_of_counts(
-    counts: DataFrame, value: str, n: str, keys: Sequence[str] = (), name: str = "median"
+    counts: DataFrame,
+    value: str,
+    n: str,
+    keys: Sequence[str] = (),
+    name: str = "median",
+    spans: DataFrame | None = None,
 ) -> DataFrame:
     """Exact, interpolated median per key from ``keys, value, n``.
 
     ``counts`` has one row per distinct value with the number of times it
     occurs, so readings are combined on the map side before any shuffle. The
-    distinct values are then spread over equal-width buckets; running totals
-    over the buckets (at most 1,024 rows per key) show which one or two hold the
-    middle ranks, and only values of those are put in order. ``percentile``
-    would keep all distinct values of a key in one task's memory instead.
+    distinct values are dealt into 1,024 buckets of about as many of them each;
+    running totals over the buckets show which one or two hold the middle ranks,
+    and only values of those are put in order. ``percentile`` would keep all
+    distinct values of a key in one task's memory instead.
 
     Values must not be null. Without keys the result is one row, NULL when
-    nothing was counted.
+    nothing was counted. ``spans`` has ``cuts_of`` per key where a caller has
+    aggregated them with figures of its own.
     """
     keys = list(keys)
     partition = f"PARTITION BY {', '.join(keys)}" if keys else ""
@@ -33,13 +55,17 @@ def median_of_counts(
     # A row that ends at rank ``r`` holds the lower or the upper middle rank.
     middle = "{r} - {n} < total div 2 + 1 AND {r} >= (total + 1) div 2"
 
-    span = counts.groupBy(*keys).agg(
-        F.expr(f"min({value}) AS lo"), F.expr(f"max({value}) AS hi"), F.expr(f"sum({n}) AS total")
-    )
-    placed = with_row(counts, span, keys).selectExpr(
-        *keys, value, n, "total",
-        f"CASE WHEN hi > lo THEN least(floor(({value} - lo) / (hi - lo) * {BUCKETS}), {BUCKETS - 1})"
-        " ELSE 0 END AS bucket",
+    if spans is None:
+        spans = counts.groupBy(*keys).agg(*cuts_of(value, n))
+    # The bucket is the number of bounds below the value, found in two steps.
+    step = f"size(filter(slice(cuts, coarse * {COARSE} + 1, {COARSE - 1}), c -> c < {value}))"
+    placed = (
+        with_row(counts, spans, keys)
+        .selectExpr(
+            *keys, value, n, "total", "cuts",
+            f"size(filter(sequence(1, {COARSE - 1}), i -> cuts[i * {COARSE} - 1] < {value})) AS coarse",
+        )
+        .selectExpr(*keys, value, n, "total", f"coarse * {COARSE} + {step} AS bucket")
     )
     middle_buckets = (
         placed.groupBy(*keys, "total", "bucket")
@@ -55,7 +81,9 @@ def median_of_counts(
     )
     return (
         with_row(placed, middle_buckets, keys)
-        .filter("bucket BETWEEN first_bucket AND last_bucket")
+        # The count is looked at so that this stays above the aggregation: on the value
+        # alone it would sink to a scan of its own.
+        .filter(f"IF({n} >= 0, bucket, NULL) BETWEEN first_bucket AND last_bucket")
         .selectExpr(
             *keys, value, n, "total",
             f"before + sum({n}) OVER ({partition} ORDER BY {value} {running}) AS rank",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from airq.functions.frames import highest_first, with_row
 from airq.functions.measures import n_rows, percent, ratio
-from airq.functions.median import median_of_counts
+from airq.functions.median import cuts_of, median_of_counts
 from airq.operators.overview import mean_by, monthly_mean, status_counts
 from airq.schema import (
     DATE,
@@ -48,24 +48,25 @@ def is_empty(df: DataFrame) -> bool:
 def slice_kpis(df: DataFrame) -> DataFrame:
     """One row: ``readings, mean_aqi, median_aqi, max_aqi, good_pct``.
 
-    All figures come from one count per (value, good or not), so the slice is
-    scanned once for the median as well.
+    All figures come from one count per value, so the slice is scanned and
+    shuffled once for the median as well. The totals and the bounds that the median
+    needs are one aggregate, used twice.
     """
-    good = F.coalesce(F.col(STATUS).isin(*GOOD_STATUSES), F.lit(False))
-    counts = df.groupBy(VALUE, good.alias("good")).agg(n_rows().alias("n"))
+    good = F.col(STATUS).isin(*GOOD_STATUSES)
+    counts = df.groupBy(VALUE).agg(n_rows().alias("n"), F.count_if(good).alias("good"))
     measured = F.when(F.col(VALUE).isNotNull(), F.col("n")).otherwise(0)
     totals = counts.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("readings"),
         ratio(F.sum(F.col(VALUE) * F.col("n")), F.sum(measured)).alias("mean_aqi"),
         F.max(VALUE).alias("max_aqi"),
-        percent(F.sum(F.when(F.col("good"), F.col("n")).otherwise(0)), F.sum("n"))
-        .alias("good_pct"),
+        percent(F.sum("good"), F.sum("n")).alias("good_pct"),
+        *cuts_of(VALUE, "n"),
     )
-    per_value = counts.groupBy(VALUE).agg(F.sum(measured).alias("measured"))
-    median = median_of_counts(
-        per_value.filter("measured > 0"), VALUE, "measured", name="median_aqi"
-    )
-    return with_row(totals, median).select(
+    # The condition looks at both counts so that it stays above the aggregation, and
+    # the median reuses its shuffle (see ``drop_null_key``).
+    present = F.when((F.col("n") >= 0) & (F.col("good") >= 0), F.col(VALUE)).isNotNull()
+    median = median_of_counts(counts.filter(present), VALUE, "n", name="median_aqi", spans=totals)
+    return with_row(median, totals).select(
         "readings", "mean_aqi", "median_aqi", "max_aqi", "good_pct"
     )
 
@@ -167,8 +168,8 @@ def preview_rows(df: DataFrame, n: int = 500) -> DataFrame:
     Readings have no key, so every other column breaks ties on the date. Counts
     per day, which need the date alone, give the earliest day that can still be
     among the newest ``n`` rows. Only days from there on are read in full and go
-    into the top-n; the comparison reaches parquet, so older files are skipped.
-    Rows without a date come last and always stay candidates.
+    into the top-n; the comparison prunes the folders of older years and reaches
+    parquet. Rows without a date come last and always stay candidates.
     """
     per_day = df.filter(F.col(DATE).isNotNull()).groupBy(DATE).agg(n_rows().alias("readings"))
     # No partition: one row per calendar day.
@@ -178,9 +179,12 @@ def preview_rows(df: DataFrame, n: int = 500) -> DataFrame:
     first_day = per_day.withColumn("seen", seen).agg(
         F.coalesce(F.max(F.when(F.col("seen") >= n, F.col(DATE))), F.min(DATE))
     )
-    rows = df.select(*PREVIEW_COLUMNS)
-    candidates = rows.filter(F.col(DATE) >= first_day.scalar()).unionAll(
-        rows.filter(F.col(DATE).isNull())
+    dated, undated = F.col(DATE) >= first_day.scalar(), F.col(DATE).isNull()
+    if YEAR in df.columns:  # the stored table has a folder per year
+        dated = (F.col(YEAR) >= F.year(first_day.scalar())) & dated
+        undated = F.col(YEAR).isNull() & undated
+    candidates = df.filter(dated).select(*PREVIEW_COLUMNS).unionAll(
+        df.filter(undated).select(*PREVIEW_COLUMNS)
     )
     ties = [F.col(c).asc_nulls_last() for c in PREVIEW_COLUMNS if c != DATE]
     return candidates.orderBy(F.col(DATE).desc_nulls_last(), *ties).limit(n)

@@ -127,18 +127,19 @@ def season_pollutant_grid(df: DataFrame, n: int = 6) -> DataFrame:
 
 
 def season_pollutant_wide(df: DataFrame, n: int = 6) -> DataFrame:
-    """``season`` and one percentage column per top pollutant, alphabetical.
+    """``season, name_1, pct_1 .. name_n, pct_n``: the top pollutants in alphabetical order.
 
-    The column names are data, so the ``n`` names are fetched first.
+    The columns do not depend on the data; with fewer than ``n`` pollutants the last
+    ones are NULL. Each season carries its at most ``n`` shares in one sorted array.
     """
-    names = sorted(row[POLLUTANT] for row in top_pollutants(df, n).collect())
-    return (
-        season_pollutant_grid(df, n)
-        .groupBy(SEASON)
-        .pivot(POLLUTANT, names)
-        .agg(F.first("pct"))
-        .orderBy(SEASON)
+    shares = _share_of(_grid(df, SEASON, n), SEASON).groupBy(SEASON).agg(
+        F.array_sort(F.collect_list(F.struct(POLLUTANT, "pct"))).alias("cells")
     )
+    columns = []
+    for i in range(n):
+        cell = F.get("cells", F.lit(i))
+        columns += [cell[POLLUTANT].alias(f"name_{i + 1}"), cell["pct"].alias(f"pct_{i + 1}")]
+    return shares.select(SEASON, *columns).orderBy(SEASON)
 
 
 def state_pollutant_counts(df: DataFrame, n: int = 6) -> DataFrame:

@@ -401,9 +401,13 @@ FROM held ORDER BY season, primary_pollutant""", _top(6), _cells("season")[0]),
 SELECT season, primary_pollutant, {_share_of('season')}
 FROM cells ORDER BY season, primary_pollutant""", _top(6), *_cells("season")),
         "season_pollutant_wide": _sql(
-            "PIVOT grid ON primary_pollutant USING any_value(pct) GROUP BY season ORDER BY season",
+            "SELECT season, " + ", ".join(
+                f"max(primary_pollutant) FILTER (place = {i}) AS name_{i}, max(pct) FILTER (place = {i}) AS pct_{i}"
+                for i in range(1, 7)
+            ) + " FROM placed GROUP BY season ORDER BY season",
             _top(6), *_cells("season"),
             f"grid AS (SELECT season, primary_pollutant, {_share_of('season')} FROM cells)",
+            "placed AS (SELECT *, row_number() OVER (PARTITION BY season ORDER BY primary_pollutant) AS place FROM grid)",
         ),
         "state_pollutant_counts": _sql(
             "SELECT state, primary_pollutant, readings FROM cells ORDER BY ALL",

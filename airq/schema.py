@@ -54,10 +54,13 @@ NULL_TOKENS = (
 
 # Every character that Python's str.strip() removes.
 WHITESPACE = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 "
-    "           "
-    "    　"
+    "\x09\x0a\x0b\x0c\x0d\x1c\x1d\x1e\x1f\x20\x85\xa0"
+    "\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
 )
 
-# Day-first forms are tried in this order; ISO dates read as ISO.
-DATE_FORMATS = ("d-M-yyyy", "d/M/yyyy", "yyyy-MM-dd")
+# Forms that fill a column of dates, day first; tried in this order, the first that fits counts.
+DATE_FORMATS = (
+    "d-M-yyyy", "d/M/yyyy", "yyyy-MM-dd", "d-M-yyyy H:mm:ss", "yyyy-MM-dd H:mm:ss",
+    "d-M-yy", "d/M/yy", "yyyy/M/d", "d MMM yyyy",
+)

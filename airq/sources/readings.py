@@ -6,7 +6,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from airq.functions.cells import (
     first_listed,
@@ -33,7 +33,11 @@ from airq.schema import (
 
 
 def read_readings(
-    spark: SparkSession, path: str | list[str], multi_line: bool = False, encoding: str = "UTF-8"
+    spark: SparkSession,
+    path: str | list[str],
+    multi_line: bool = False,
+    encoding: str = "UTF-8",
+    mode: str = "FAILFAST",
 ) -> DataFrame:
     """Header CSV as text columns, bound by header name.
 
@@ -41,8 +45,12 @@ def read_readings(
     would change the type of a column. ``multi_line`` allows line breaks inside
     quotes, but then a file is read by one task. Every file must carry the same
     header (checked by Spark because the schema is not enforced).
+
+    A record with fewer or more fields than the header raises, whatever columns a
+    query uses: lines are parsed whole, and a filter looks at what did not fit.
+    ``mode`` may be ``PERMISSIVE`` or ``DROPMALFORMED`` to get Spark's handling.
     """
-    raw = (
+    reader = (
         spark.read.option("header", True)
         .option("escape", '"')
         .option("enforceSchema", False)
@@ -50,10 +58,27 @@ def read_readings(
         .option("ignoreTrailingWhiteSpace", False)
         .option("multiLine", multi_line)
         .option("encoding", encoding)
-        .csv(path)
+        .option("columnPruning", False)
     )
-    check_columns(raw)
-    return missing_to_null(raw)
+    if mode.upper() != "FAILFAST":
+        raw = reader.option("mode", mode).csv(path)
+        check_columns(raw)
+        return missing_to_null(raw)
+    header = reader.csv(path)
+    check_columns(header)
+    broken = "_broken"
+    while broken in header.columns:
+        broken += "_"
+    schema = StructType([*header.schema.fields, StructField(broken, StringType())])
+    raw = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", broken).schema(schema).csv(path)
+    # Spark wants a column of the file beside the broken record, so the first one is named.
+    first = F.coalesce(F.col(f"`{header.columns[0]}`"), F.lit(""))
+    complaint = F.concat(
+        F.lit("record does not fit the header (line breaks inside quotes need multi_line=True), beginning "),
+        first, F.lit(": "), F.col(broken),
+    )
+    whole = raw.filter(F.when(F.col(broken).isNull(), True).otherwise(F.raise_error(complaint).cast("boolean")))
+    return missing_to_null(whole.drop(broken))
 
 
 def check_columns(raw: DataFrame) -> None:
@@ -120,7 +145,12 @@ def clean(raw: DataFrame, date_formats: Sequence[str] = DATE_FORMATS) -> DataFra
 
 
 def clean_readings(
-    spark: SparkSession, path: str | list[str], date_formats: Sequence[str] = DATE_FORMATS
+    spark: SparkSession,
+    path: str | list[str],
+    date_formats: Sequence[str] = DATE_FORMATS,
+    multi_line: bool = False,
+    encoding: str = "UTF-8",
+    mode: str = "FAILFAST",
 ) -> DataFrame:
-    """Read a CSV of readings and clean it."""
-    return clean(read_readings(spark, path), date_formats)
+    """Read a CSV of readings and clean it; the options are those of ``read_readings``."""
+    return clean(read_readings(spark, path, multi_line, encoding, mode), date_formats)

@@ -1,50 +1,69 @@
-"""The cleaned table, written once and shared by all operators of a session."""
+"""The cleaned table, written once and shared by all operators of an application."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Callable
+import warnings
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from airq.schema import STATE, YEAR
 
-# (application, input) -> (path of the copy, frame that reads it)
-_kept: dict[tuple[str, str], tuple[str, DataFrame]] = {}
+# (application, input, its files) -> (path of the copy, frame that reads it)
+_kept: dict[tuple, tuple[str, DataFrame]] = {}
 
 
-def work_folder(spark: SparkSession) -> str | None:
-    """Folder that every executor can reach, or None.
+def work_folder(spark: SparkSession, folder: str | None = None) -> str | None:
+    """Folder that every executor can reach, or None, on any kind of master.
 
-    It is the one the cluster names in ``spark.checkpoint.dir``. Only a local
-    session without that setting falls back to a temporary folder.
+    ``folder`` if given, else the one named in ``spark.checkpoint.dir``, else the
+    context's checkpoint folder. On a cluster a path that is local to each machine
+    is refused: one without a scheme while the default file system is the local one.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="airq-")
-    return None
+    context = spark.sparkContext
+    folder = folder or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        return None
+    if not context.master.startswith("local[") and context.master != "local" and ":" not in folder:
+        default = context._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+        if default.startswith("file:"):
+            raise ValueError(f"{folder} is local to each machine; name a shared folder with its scheme")
+    return folder.rstrip("/")
 
 
-def new_folder(spark: SparkSession, name: str) -> str | None:
+def new_folder(spark: SparkSession, name: str, folder: str | None = None) -> str | None:
     """A path in the work folder that nothing has used yet."""
-    base = work_folder(spark)
+    base = work_folder(spark, folder)
     if base is None:
         return None
     return f"{base}/airq-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}/{name}"
 
 
+def files_of(spark: SparkSession, paths: Iterable[str]) -> tuple:
+    """Names, sizes and times of all files under ``paths``; they change when the input does."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    found = []
+    for path in paths:
+        root = jvm.org.apache.hadoop.fs.Path(path)
+        listed = root.getFileSystem(conf).listFiles(root, True)
+        while listed.hasNext():
+            file = listed.next()
+            found.append((file.getPath().toString(), file.getLen(), file.getModificationTime()))
+    return tuple(sorted(found))
+
+
 def write_readings(readings: DataFrame, path: str) -> None:
     """Write cleaned readings as parquet, one folder per year.
 
-    Year filters then prune folders. Inside a task rows are sorted by state, so
-    state filters skip row groups and the text columns encode well. No shuffle:
-    each task writes what it holds, however large one year or state is.
+    Year filters then prune folders. Rows are rebalanced by year first: adaptive
+    execution merges small pieces and splits a hot year, so the number of files
+    follows the data and not tasks times years. Inside a file rows are sorted by
+    state, so state filters skip row groups and the text columns encode well.
     """
-    readings.sortWithinPartitions(YEAR, STATE).write.partitionBy(YEAR).parquet(path)
+    dealt = readings.hint("rebalance", YEAR)
+    dealt.sortWithinPartitions(YEAR, STATE).write.partitionBy(YEAR).parquet(path)
 
 
 def load_readings(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -52,24 +71,32 @@ def load_readings(spark: SparkSession, path: str, schema: StructType) -> DataFra
     return spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
 
 
-def stored(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+def stored(
+    spark: SparkSession,
+    name: str,
+    build: Callable[[], DataFrame],
+    inputs: Iterable[str] = (),
+    folder: str | None = None,
+) -> DataFrame:
     """The stored copy of ``build()``, written on the first call per application.
 
-    ``name`` identifies the input, which must not change meanwhile. The frame
-    that reads the copy is kept, so its files are listed once per session.
-    Without a shared folder the lazy plan is returned as it is, which gives the
+    ``name`` and the files under ``inputs`` identify it, so changed input is written
+    anew. The frame that reads the copy is kept, so its files are listed once per session.
+    Without a shared folder the lazy plan is returned with a warning, which gives the
     same rows without the reuse.
     """
-    key = (spark.sparkContext.applicationId, name)
+    base = work_folder(spark, folder)
+    if base is None:
+        warnings.warn("no shared folder (spark.checkpoint.dir): the cleaned table is not stored", stacklevel=2)
+        return build()
+    key = (spark.sparkContext.applicationId, name, files_of(spark, inputs))
     if key in _kept:
         path, kept = _kept[key]
         if kept.sparkSession is not spark:
             kept = load_readings(spark, path, kept.schema)
     else:
         readings = build()
-        path = new_folder(spark, "readings")
-        if path is None:
-            return readings
+        path = new_folder(spark, "readings", base)
         write_readings(readings, path)
         kept = load_readings(spark, path, readings.schema)
     _kept[key] = (path, kept)

@@ -9,12 +9,14 @@ below the session's limit and otherwise joins it the same way.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airq.functions.cells import aqi_band
 from airq.sources.readings import clean, missing_to_null, read_readings
-from airq.sources.store import new_folder, stored
+from airq.sources.store import files_of, new_folder, stored, work_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -71,9 +73,18 @@ def cleaned_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean(missing_to_null(raw_readings(spark, sf_dir)))
 
 
+TABLES = ("lineitem", "orders", "customer", "nation", "part")
+# (application, input files) -> path of their CSV copy
+_csv: dict[tuple, str] = {}
+
+
+def inputs(sf_dir: str) -> list[str]:
+    return [f"{sf_dir}/{name}.parquet" for name in TABLES]
+
+
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cleaned table, stored once per session and read back per query."""
-    return stored(spark, sf_dir, lambda: cleaned_readings(spark, sf_dir))
+    """The cleaned table, stored once per application and read back per query."""
+    return stored(spark, sf_dir, lambda: cleaned_readings(spark, sf_dir), inputs(sf_dir))
 
 
 def write_raw_csv(raw: DataFrame, path: str) -> None:
@@ -87,10 +98,18 @@ def write_raw_csv(raw: DataFrame, path: str) -> None:
     )
 
 
-def readings_through_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cleaned table, by way of CSV files in the session's work folder."""
-    path = new_folder(spark, "csv")
-    if path is None:
-        raise ValueError("set spark.checkpoint.dir to a shared folder to write CSV files")
-    write_raw_csv(raw_readings(spark, sf_dir), path)
-    return clean(read_readings(spark, path))
+def readings_through_csv(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """The cleaned table, by way of one CSV copy per application in the shared folder.
+
+    A local session without a shared folder, as in a test, gets a temporary one.
+    """
+    if work_folder(spark, folder) is None and spark.sparkContext.master.startswith("local["):
+        folder = tempfile.mkdtemp(prefix="airq-")
+    key = (spark.sparkContext.applicationId, files_of(spark, inputs(sf_dir)))
+    if key not in _csv:
+        path = new_folder(spark, "csv", folder)
+        if path is None:
+            raise ValueError("set spark.checkpoint.dir to a shared folder to write CSV files")
+        write_raw_csv(raw_readings(spark, sf_dir), path)
+        _csv[key] = path
+    return clean(read_readings(spark, _csv[key]))

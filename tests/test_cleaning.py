@@ -10,6 +10,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import airq
 from airq.functions.cells import (
     aqi_band,
     first_listed,
@@ -72,8 +73,8 @@ def test_strip_is_python_strip(spark, texts):
 
 def test_numbers(spark):
     texts = ["210", "210.5", ".5", "5.", "+7", "-3", "1e2", "abc", "", "12d", "12f", "0x1p3",
-             "1,234", "1_000", "Infinity", "NaN", None]
-    want = [210.0, 210.5, 0.5, 5.0, 7.0, -3.0, 100.0] + [None] * 10
+             "1,234", "1_000", "Infinity", "NaN", None, "1e999", "-1e999"]
+    want = [210.0, 210.5, 0.5, 5.0, 7.0, -3.0, 100.0] + [None] * 12
     assert apply(spark, to_number, texts) == want
 
 
@@ -143,6 +144,50 @@ def test_line_break_in_quotes(spark, tmp_path):
     assert row.area == "Pan\naji"
 
 
+BROKEN = {
+    "line break": ('2-1-2024,Goa,Panaji,1,O3,40,Good,"two\nlines"', "2-1-2024,Goa,Panaji,1,O3,50,Poor,x"),
+    "surplus field": ("2-1-2024,Goa,Panaji,1,O3,40,Good,x,y",),
+    "short record": ("2-1-2024,Goa,Panaji,1,O3,40",),
+}
+ACTIONS = {
+    "count": lambda df: df.count(),
+    "group": lambda df: df.groupBy("state").count().collect(),
+    "rows": lambda df: df.collect(),
+}
+
+
+@pytest.mark.parametrize("action", ACTIONS)
+@pytest.mark.parametrize("case", BROKEN)
+def test_malformed_records_raise(spark, tmp_path, case, action):
+    path = write_csv(tmp_path / "csv", *BROKEN[case], header=HEADER + ",note")
+    for df in (read_readings(spark, path), clean_readings(spark, path)):
+        with pytest.raises(Exception, match="multi_line=True"):
+            ACTIONS[action](df)
+
+
+@pytest.mark.parametrize("action, want", [("count", 2), ("group", [("Goa", 2)])])
+def test_line_breaks_with_the_option(spark, tmp_path, action, want):
+    path = write_csv(tmp_path / "csv", *BROKEN["line break"], header=HEADER + ",note")
+    got = ACTIONS[action](clean_readings(spark, path, multi_line=True))
+    assert (got if action == "count" else [tuple(r) for r in got]) == want
+    assert read_readings(spark, path, mode="PERMISSIVE").count() == 3
+
+
+def test_overflowing_values_are_missing(spark, tmp_path):
+    path = write_csv(tmp_path / "csv", *[f"2-1-2024,Goa,Panaji,1,O3,{v},Good" for v in ("40", "60", "1e999")])
+    df = clean_readings(spark, path)
+    assert df.count() == 3 and [tuple(r) for r in df.groupBy("state").count().collect()] == [("Goa", 3)]
+    assert sorted(r.aqi_value or 0 for r in df.collect()) == [0, 40, 60]
+    bins = airq.value_histogram(df, 4).collect()
+    assert sum(r.readings for r in bins) == 2 and bins[0].lo == 40
+    assert airq.slice_kpis(df).first()[:4] == (3, 50.0, 50.0, 60.0)
+
+
+@pytest.mark.parametrize("text", ["30-04-2025 00:00:00", "30-4-25", "2025/04/30", "30 Apr 2025", "30/4/2025", "2025-04-30"])
+def test_date_forms(spark, text):
+    assert apply(spark, parse_day_first, [text, "x"]) == [dt.date(2025, 4, 30), None]
+
+
 def test_extra_text_column_is_kept_and_stripped(spark, tmp_path):
     path = write_csv(tmp_path / "csv", "2-1-2024,Goa,Panaji,1,O3,40,Good, x ", header=HEADER + ",extra.col")
     assert clean_readings(spark, path).first()["extra.col"] == "x"

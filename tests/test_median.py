@@ -55,3 +55,37 @@ def test_two_keys(spark):
     df = spark.createDataFrame(rows, "a int, b string, v double, n bigint")
     got = {(r.a, r.b): r.m for r in median_of_counts(df, "v", "n", ["a", "b"], "m").collect()}
     assert got == {k: statistics.median(v) for k, v in groups.items()}
+
+
+def last_stage_rows(spark, df):
+    """Rows that the last window of the median puts in order, in one task."""
+    plan = median_of_counts(df, "v", "n")
+    plan.collect()
+    node = plan._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in node
+    status = plan._jdf.queryExecution().executedPlan()
+    return max(windowed(status))
+
+
+def windowed(node):
+    """Input rows of all exchanges to a single partition."""
+    found = [0]
+    name = node.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return windowed(node.executedPlan())
+    if "QueryStage" in name:
+        return windowed(node.plan())
+    if name == "Exchange" and "SinglePartition" in node.toString().splitlines()[0]:
+        found.append(node.metrics().apply("shuffleRecordsWritten").value())
+    children = node.children()
+    for i in range(children.size()):
+        found += windowed(children.apply(i))
+    return found
+
+
+def test_an_outlier_does_not_crowd_the_last_task(spark):
+    plain = spark.range(400_000).selectExpr("CAST(id AS DOUBLE) AS v", "1L AS n")
+    outlier = plain.unionByName(spark.sql("SELECT 1e15D AS v, 1L AS n"))
+    without, having = last_stage_rows(spark, plain), last_stage_rows(spark, outlier)
+    assert 0 < having <= max(without, 782) and without <= 2000
+    assert median_of_counts(outlier, "v", "n").first().median == 200_000.0

@@ -250,10 +250,11 @@ def test_pollutants_by_season_and_state(sample, sample_df):
             for s in sorted(seasons) for p in names]
     close(tuples(airq.season_pollutant_grid(sample_df)), grid)
     wide = airq.season_pollutant_wide(sample_df)
-    assert wide.columns == ["season", *names]
+    assert wide.columns == ["season", *[f"{c}_{i}" for i in range(1, 7) for c in ("name", "pct")]]
     close(tuples(wide), [
-        (s, *[pct for season, _, pct in grid if season == s]) for s in sorted(seasons)
+        (s, *[cell for season, p, pct in grid if season == s for cell in (p, pct)]) for s in sorted(seasons)
     ])
+    assert tuples(airq.season_pollutant_wide(sample_df, 20))[0][-2:] == (None, None)
 
     states = groups(rows, "state")
     cells = {k: len(g) for k, g in groups(rows, "state", "primary_pollutant").items()}

@@ -8,7 +8,7 @@ import pytest
 
 import airq
 from airq.plans import registry
-from airq.plans.inspect import final_plan, scans
+from inspect_plans import final_plan, scans
 from airq.sources import tables
 
 SF = "/root/testdata/sf0.01"
@@ -91,6 +91,38 @@ def test_preview_skips_old_files(df):
     lines = [x for x in final_plan(airq.preview_rows(df, 20)) if x.startswith("FileScan")]
     assert any(re.search(r"DataFilters: \[.*date#\d+ >= ", x) for x in lines)
     assert any("ReadSchema: struct<date:date>" in x for x in lines)
+    pruned = [x for x in lines if re.search(r"PartitionFilters: \[[^\]]*year#", x)]
+    assert len(pruned) == 2, lines
+
+
+def test_slice_kpis_shuffles_readings_once(df):
+    plan = final_plan(airq.slice_kpis(df))
+    assert sum("hashpartitioning(aqi_value" in line and line.startswith("Exchange") for line in plan) == 1
+
+
+@pytest.mark.parametrize("name", registry.OPERATORS)
+def test_frames_are_built_without_a_job(spark, df, name):
+    group = f"building {name}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        registry.OPERATORS[name](df)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert not list(jobs)
+
+
+@pytest.mark.parametrize("name", registry.OPERATORS)
+def test_no_pair_joins_without_broadcasts(spark, df, name):
+    settings = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for key in settings:
+        spark.conf.set(key, "-1")
+    try:
+        text = "\n".join(final_plan(registry.OPERATORS[name](df)))
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+    assert "CartesianProduct" not in text and "NestedLoop" not in text
 
 
 def test_scan_counter_counts_repeated_scans(df):

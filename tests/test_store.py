@@ -13,50 +13,76 @@ from airq.sources import store, tables
 SF = "/root/testdata/sf0.001"
 
 
-def session(folder, master):
+def session(folder, master, checkpoints=None, default="file:///"):
     settings = {} if folder is None else {"spark.checkpoint.dir": folder}
+    hadoop = SimpleNamespace(get={"fs.defaultFS": default}.get)
     return SimpleNamespace(
         conf=SimpleNamespace(get=settings.get),
-        sparkContext=SimpleNamespace(master=master, applicationId="app-1"),
+        sparkContext=SimpleNamespace(
+            master=master, applicationId="app-1", getCheckpointDir=lambda: checkpoints,
+            _jsc=SimpleNamespace(hadoopConfiguration=lambda: hadoop)),
     )
 
 
-def test_the_shared_folder_of_the_session_comes_first():
-    assert store.work_folder(session("hdfs:///shared/", "yarn")) == "hdfs:///shared"
-    assert store.work_folder(session("/shared", "local[8]")) == "/shared"
-    assert store.new_folder(session("s3a://b/c", "yarn"), "x").startswith("s3a://b/c/airq-app-1-")
+@pytest.mark.parametrize("master", ["yarn", "local[8]"])
+def test_where_the_folder_comes_from(master):
+    assert store.work_folder(session("hdfs:///shared/", master)) == "hdfs:///shared"
+    assert store.work_folder(session(None, master, "hdfs:///checkpoints")) == "hdfs:///checkpoints"
+    assert store.work_folder(session("s3a://b", master), "s3a://mine/") == "s3a://mine"
+    assert store.work_folder(session(None, master)) is None
+    assert store.new_folder(session(None, master), "x") is None
+    assert store.new_folder(session("s3a://b/c", master), "x").startswith("s3a://b/c/airq-app-1-")
 
 
-def test_no_local_folder_on_a_cluster():
-    assert store.work_folder(session(None, "yarn")) is None
-    assert store.new_folder(session(None, "spark://host:7077"), "x") is None
-    assert os.path.isdir(store.work_folder(session(None, "local[2]")))
+def test_a_folder_of_each_machine_is_refused_on_a_cluster():
+    assert store.work_folder(session("/shared", "local[8]")) == "/shared"
+    assert store.work_folder(session("/shared", "yarn", default="hdfs://name")) == "/shared"
+    with pytest.raises(ValueError, match="local to each machine"):
+        store.work_folder(session("/tmp/checkpoints", "spark://host:7077"))
 
 
 def test_without_a_shared_folder_nothing_is_written(spark, monkeypatch):
-    monkeypatch.setattr(store, "work_folder", lambda spark: None)
-    lazy = store.stored(spark, "nothing", lambda: spark.range(3))
-    assert lazy.count() == 3
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        tables.readings_through_csv(spark, SF)
+    monkeypatch.setattr(store, "work_folder", lambda spark, folder=None: None)
+    with pytest.warns(UserWarning, match="spark.checkpoint.dir"):
+        assert store.stored(spark, "nothing", lambda: spark.range(3)).count() == 3
 
 
-def test_written_once(spark):
+def test_written_once_and_anew_when_the_input_changes(spark, tmp_path):
     calls = []
+    source = tmp_path / "input"
+    source.mkdir()
+    (source / "a").write_text("1")
 
     def build():
         calls.append(1)
         return tables.cleaned_readings(spark, SF)
 
-    first, second = (store.stored(spark, "once", build) for _ in range(2))
+    first, second = (store.stored(spark, "once", build, [str(source)]) for _ in range(2))
     assert len(calls) == 1 and first is second
     other = spark.newSession()
-    third = store.stored(other, "once", build)
+    third = store.stored(other, "once", build, [str(source)])
     assert len(calls) == 1 and third.sparkSession is other
     assert third.count() == first.count()
     want = tables.cleaned_readings(spark, SF)
     assert first.schema == want.schema
     assert sorted(tuples(first), key=str) == sorted(tuples(want), key=str)
+    (source / "a").write_text("12")
+    assert store.stored(spark, "once", build, [str(source)]) is not first and len(calls) == 2
+
+
+def test_one_csv_copy_per_application(spark, tmp_path):
+    for _ in range(2):
+        tables.readings_through_csv(spark, SF, str(tmp_path))
+    assert len([n for n in os.listdir(tmp_path) if n.startswith("airq-")]) <= 1
+
+
+def test_files_follow_the_data_and_not_the_tasks(spark, tmp_path):
+    path = str(tmp_path / "readings")
+    many = tables.cleaned_readings(spark, SF).repartition(40)
+    store.write_readings(many, path)
+    years = [n for n in os.listdir(path) if n.startswith("year=")]
+    files = [n for y in years for n in os.listdir(f"{path}/{y}") if n.endswith(".parquet")]
+    assert len(files) <= 2 * len(years)
 
 
 def test_one_folder_per_year_rows_sorted_by_state(spark, tmp_path):
