@@ -207,4 +207,4 @@ def simhash_dedup(docs: DataFrame, radius: int = 4, width: int = 4, seed: int =
     """
     groups = simhash_groups(docs.filter("doc_id IS NOT NULL"), radius, width, seed)
     drop = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(drop, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
