@@ -33,10 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from airq.llm.rolling import grams, mix, prefix, run_starts, sliding_min, spans
-from airq.llm.shared import NO_ID, need, packed, partitions, text_or_empty, unpacked
+from airq.llm.shared import NO_ID, need, packed, text_or_empty, unpacked
 
 #: Bytes of text that are hashed at a time, about 50 bytes of memory each.
 CHUNK = 1 << 20
+#: Text bytes of a part. A part's text, and the strings it sends, are in one task's memory.
+PART_BYTES = 4 << 20
 #: Super-k-mers of one minimiser, over all parts, above which it counts as crowded.
 CROWDED = 20_000
 
@@ -269,7 +271,7 @@ def remove_repeats(
     some tens of MB (by default twice the session's shuffle partitions).
     """
     need(docs, "doc_id", "text")
-    parts = parts or 2 * partitions(docs.sparkSession)
+    parts = parts or -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 1) // PART_BYTES)
     ids = F.col("doc_id").cast("long")
     dealt = docs.select(
         F.coalesce(ids, F.lit(NO_ID)).alias("doc_id"), ids.isNull().alias("no_id"), text_or_empty().alias("text"),
