@@ -85,7 +85,7 @@ def _linked(fps: np.ndarray, spare: np.ndarray, low: int, flips: int, held: int)
     """
     if len(fps) < 2:
         return
-    ball = [m for m in masks(low, flips)]
+    ball = masks(low, flips)
     per = np.cumsum([len(m) for m in ball])
     rows = np.arange(len(fps))
     if per[spare].sum() > held and low > 4:
@@ -156,7 +156,6 @@ def near_links(fps: DataFrame, radius: int = 4, top: int | None = None, held: in
         raise ValueError("radius must be even")
     flips = radius // 2
     top = min(24, max(6, (2 * partitions(fps.sparkSession) - 1).bit_length())) if top is None else top
-    n_buckets = 1 << top
     near = np.concatenate(masks(top, flips))
 
     def emit(batches):
@@ -176,7 +175,6 @@ def near_links(fps: DataFrame, radius: int = 4, top: int | None = None, held: in
         u, v = bucket_links(own, key[0].as_py(), top, flips, held)
         return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
 
-    assert n_buckets > 0
     return fps.select("fp").distinct().mapInArrow(emit, "bucket long, payload binary").groupBy("bucket").applyInArrow(link, "u long, v long")
 
 

@@ -31,6 +31,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from airq.llm.rolling import grams, mix, prefix, run_starts, sliding_min, spans
 from airq.llm.shared import NO_ID, need, packed, text_or_empty, unpacked
@@ -313,7 +315,7 @@ def remove_repeats(
             out.append(packed(piece.astype(np.int32), windows[piece], s.least[piece], s.most[piece],
                               b"".join(own), np.cumsum([len(b) for b in own])))
         return pa.table({
-            "bucket": pa.array(to[order][starts], pa.int32()), "part": pa.array([key[0].as_py() if len(key) else 0] * len(out), pa.int32()),
+            "bucket": pa.array(to[order][starts], pa.int32()), "part": pa.array([key[0].as_py()] * len(out), pa.int32()),
             "payload": pa.array(out, pa.binary())})
 
     def judge(key, table):
@@ -355,10 +357,7 @@ def remove_repeats(
         columns = [pa.array(c, f.type) for c, f in zip(zip(*made), list(out_schema)[1:])]
         return pa.Table.from_arrays([pa.array(ids), *columns], schema=out_schema)
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    out_type = StructType.fromDDL(f"doc_id long, {schema}") if hasattr(StructType, "fromDDL") else None
+    out_type = StructType.fromDDL(f"doc_id long, {schema}")
     out_schema = to_arrow_schema(out_type)
     texts = dealt.select("part", "doc_id", "text")
     asked = texts.groupBy("part").applyInArrow(ask, "bucket int, part int, payload binary")
@@ -393,7 +392,7 @@ def window_classes(units: Units) -> Classes:
             on = np.flatnonzero(step < size)
             # Words of eight bytes; the last one reaches back to the window's end.
             shift = np.minimum(step, np.maximum(size[on] - 8, 0))
-            equal[on] &= (words8[a[on] + shift] == words8[b[on] + shift])[:, :].all(axis=1) | (size[on] < 8)
+            equal[on] &= (words8[a[on] + shift] == words8[b[on] + shift]).all(axis=1) | (size[on] < 8)
         short = np.flatnonzero(size < 8)
         for i in short.tolist():
             equal[i] = chunk.buffer[a[i]:a[i] + size[i]] == chunk.buffer[b[i]:b[i] + size[i]]
