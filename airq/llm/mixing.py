@@ -24,6 +24,8 @@ from airq.llm.shared import free_name, need, packed, unpacked, written
 
 #: Hashed word features of the classifier.
 FEATURES = 1 << 15
+#: Labelled documents that the classifier is fitted to, at most: those with the least hash of their id.
+LABELLED = 20_000
 #: How much a document's words count together, as many words of independent evidence.
 EVIDENCE = 12.0
 #: Largest relative error of a domain's total, and most steps.
@@ -54,7 +56,7 @@ def _features(word: np.ndarray) -> np.ndarray:
 
 
 def fit_domains(labelled: DataFrame) -> Domains:
-    """Classifier from ``text, domain`` rows, all of them; rows without a domain are left out.
+    """Classifier from all ``text, domain`` rows given; rows without a domain are left out.
 
     Tasks send one count per feature and domain each, which are added in the shuffle
     and on the driver: domains times ``FEATURES`` numbers, whatever the input.
@@ -178,7 +180,7 @@ def mixture(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float], do
     """``doc_id, n_tokens, shares, rate, copies`` for every row of ``docs``.
 
     ``labels`` names the documents (by doc_id) whose column ``domain`` is trusted; the classifier is
-    fitted to these. ``copies`` is the rate rounded up or down by a hash of the id, so
+    fitted to at most ``LABELLED`` of these. ``copies`` is the rate rounded up or down by a hash of the id, so
     that its expectation is the rate. Null texts have no tokens and the prior as
     shares; a null domain is not used. Repeated rows are rows of their own. Without
     labelled documents, or without a weight for any domain, every rate is one.
@@ -190,7 +192,9 @@ def mixture(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float], do
 def _fitted(docs, labels, weights, domain, total):
     need(docs, "doc_id", "text", domain)
     need(labels, "doc_id")
-    known = labels.select(F.col("doc_id").cast("long").alias("labelled")).filter("labelled IS NOT NULL").distinct()
+    ids = labels.select(F.col("doc_id").cast("long").alias("labelled")).filter("labelled IS NOT NULL").distinct()
+    # At most LABELLED ids, so this is broadcast by right and no text moves.
+    known = F.broadcast(ids.orderBy(F.xxhash64("labelled", F.lit(11)), "labelled").limit(LABELLED))
     rows = docs.select(F.col("doc_id").cast("long").alias("row"), "text", F.col(f"`{domain}`").alias("domain"))
     domains = fit_domains(rows.join(known, F.col("row") == F.col("labelled"), "left_semi"))
     members = written(memberships(docs, domains))
