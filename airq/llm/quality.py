@@ -259,7 +259,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Quality:
     """Fit the lexicon, both label models and the scorer.
 
     Vote patterns are counted over all documents (at most 3 ** 8 counts). The lexicon
-    is taken from about ``LEXICON_SAMPLE`` labelled documents at most, and the scorer is fitted on about
+    is taken from ``LEXICON_SAMPLE`` labelled documents at most, and the scorer is fitted on about
     ``sample`` documents at most; both are chosen by a hash of their id.
     """
     need(docs, "doc_id", "text")
@@ -276,7 +276,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Quality:
                 order = order[run_starts(doc[order], mark[order])]
                 yield pa.record_batch({"payload": [packed(doc[order].astype(np.int32), mark[order], toxic[piece.rows.start:piece.rows.stop])]})
 
-    known = _sampled(table.select(F.col("labelled").alias("row"), "table").filter("row IS NOT NULL"), LEXICON_SAMPLE, table.count())
+    ids = table.select(F.col("labelled").alias("row"), "table").filter("row IS NOT NULL")
+    # At most LEXICON_SAMPLE ids, so this is broadcast by right and no text moves.
+    known = F.broadcast(ids.orderBy(F.xxhash64("row", F.lit(7)), "row").limit(LEXICON_SAMPLE))
     lexicon = find_lexicon(*_gathered(rows.join(known, "row").select("text", "table"), words, 3))
 
     def vote(batches):
