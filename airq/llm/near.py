@@ -1,0 +1,253 @@
+"""Near copies by word shingles: ball hashing for candidates, exact similarity for the verdict.
+
+Two texts are near copies when the Jaccard similarity of their sets of five-word
+shingles is at least 0.8. At 0.8 a 64-bit SimHash differs in about ten bits, beyond what
+ball hashing lists for one fingerprint. Five seeded fingerprints are therefore cut in
+halves, and every half is searched alone at radius four: halves that share a
+variant within two flips meet, and the pair is a candidate when the other halves differ
+little too. All bits of a candidate are compared, then its shingles.
+
+Candidates are looked for twice, so that a large group lists no pairs: first every
+member of a meeting is paired with the first of it, then, with the groups known that these
+pairs make, members of different groups are paired.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from airq.llm.components import components
+from airq.llm.rolling import mix, run_starts
+from airq.llm.shared import need, packed, partitions, unpacked, written
+from airq.llm.simhash import masks
+
+WIDTH, SIMILAR = 5, 0.8
+#: Fingerprints of 64 bits, and flips of a half: halves up to twice as many bits apart meet.
+PRINTS, FLIPS = 5, 2
+#: Bits that the other halves, and all 320 bits, of a candidate may differ in. Random
+#: texts differ in 16 and 160, texts of similarity 0.8 in about 5 and 50.
+OTHER, ALL = 8, 96
+HALF = 32
+#: Variants, or pairs, that a task holds at once.
+HELD = 1 << 21
+
+
+def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """Ascending hashes of the distinct word shingles; fewer words are one shingle, no words none."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    line = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    if len(words) <= width:
+        return np.array([xxhash.xxh64_intdigest(line)], dtype=np.uint64)
+    starts = [0, *(ends[: len(words) - width] + 1).tolist()]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(line[a:b]) for a, b in zip(starts, ends[width - 1:].tolist())], dtype=np.uint64))
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """``PRINTS`` fingerprints: a bit is set when over half of the shingles have it set."""
+    out = np.zeros(PRINTS, dtype=np.uint64)
+    for k in range(PRINTS):
+        total = np.zeros(64, dtype=np.int64)
+        for at in range(0, len(hashes), 1 << 16):
+            part = mix(hashes[at:at + (1 << 16)] + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+            total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[k] = np.packbits(total * 2 > len(hashes), bitorder="little").view("<u8")[0]
+    return out
+
+
+def _key(hashes: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(hashes.tobytes(), 5)
+
+
+def _met(half: np.ndarray, rows: np.ndarray, spare: np.ndarray, low: int, held: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``variant, row`` of all rows that share a variant with another, ascending.
+
+    All variants here agree above bit ``low``; a half may still flip ``spare`` of the bits below it.
+    """
+    if len(rows) < 2:
+        return
+    ball = masks(low, FLIPS)
+    per = np.cumsum([len(m) for m in ball])
+    if per[spare].sum() > held and low > 4:
+        cut = low - 4
+        nibble = (half >> np.uint64(cut)) & np.uint64(15)
+        for child in range(16):
+            left = spare - np.bitwise_count(nibble ^ np.uint64(child)).astype(np.int64)
+            inside = np.flatnonzero(left >= 0)
+            yield from _met(half[inside], rows[inside], left[inside], cut, held)
+        return
+    mask = np.uint64((1 << low) - 1)
+    found = []
+    for s in range(FLIPS + 1):
+        own = np.flatnonzero(spare == s)
+        if len(own):
+            variants = (half[own] & mask)[:, None] ^ np.concatenate(ball[: s + 1])
+            found.append(((variants << np.uint64(HALF)) | rows[own].astype(np.uint64)[:, None]).ravel())
+    found = np.sort(np.concatenate(found))
+    variant = found >> np.uint64(HALF)
+    first = run_starts(variant)
+    alone = first & np.append(first[1:], True)
+    yield variant[~alone], (found[~alone] & np.uint64((1 << HALF) - 1)).astype(np.int64)
+
+
+def bucket_pairs(prints: np.ndarray, ids: np.ndarray, groups: np.ndarray | None, bucket: int, top: int, held: int = HELD) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates of one bucket, by id; ``prints`` have the half searched as their high bits.
+
+    Without ``groups`` every meeting pairs its least id with the others, else
+    all members that are in different groups are paired.
+    """
+    order = np.argsort(ids if groups is None else groups, kind="stable")
+    prints, ids = prints[order], ids[order]
+    half, other = prints >> np.uint64(HALF), prints & np.uint64((1 << HALF) - 1)
+    spare = FLIPS - np.bitwise_count((half >> np.uint64(HALF - top)) ^ np.uint64(bucket)).astype(np.int64)
+    seen, late, size = np.zeros(0, dtype=np.int64), [], 0
+    for variant, row in _met(half, np.arange(len(ids)), spare, HALF - top, held):
+        first = run_starts(variant)
+        if groups is None:
+            head = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
+            parts = iter([(row[head[~first]], row[~first])])
+        else:
+            parts = _across(row, first, groups[order][row], held)
+        for a, b in parts:
+            near = np.bitwise_count(other[a] ^ other[b]) <= OTHER
+            late.append(np.unique(a[near] * len(ids) + b[near]))
+            size += len(late[-1])
+            if size > held:
+                seen, late, size = np.unique(np.concatenate([seen, *late])), [], 0
+    a, b = np.divmod(np.unique(np.concatenate([seen, *late])), max(1, len(ids)))
+    return ids[a], ids[b]
+
+
+def _across(row: np.ndarray, first: np.ndarray, group: np.ndarray, held: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one run (from ``first``) and different groups, which ascend in a run."""
+    if not len(row):
+        return
+    bounds = np.append(np.flatnonzero(first), len(row))
+    end = bounds[np.cumsum(first)]
+    new = first | np.append(True, group[1:] != group[:-1])
+    begin = np.append(np.flatnonzero(new), len(row))[np.cumsum(new)]
+    reps = end - begin
+    done = np.concatenate([[0], np.cumsum(reps)])
+    at = 0
+    while at < len(row):
+        to = max(at + 1, int(np.searchsorted(done, done[at] + held, side="right")) - 1)
+        own = reps[at:to]
+        a = np.repeat(np.arange(at, to), own)
+        yield row[a], row[begin[a] + np.arange(len(a)) - np.repeat(done[at:to] - done[at], own)]
+        at = to
+
+
+def _candidates(nodes: DataFrame, grouped: bool, held: int) -> DataFrame:
+    """Distinct pairs ``u, v`` of nodes (``key, s0.., group``) that may be near copies."""
+    top = min(6, max(4, partitions(nodes.sparkSession).bit_length() - 3))
+    near = np.concatenate(masks(top, FLIPS))
+
+    def emit(batches):
+        for batch in batches:
+            ids, groups = batch.column("key").to_numpy(), batch.column("group").to_numpy()
+            for k in range(PRINTS):
+                print_ = batch.column(f"s{k}").to_numpy().view(np.uint64)
+                for turn, own in enumerate((print_, (print_ << np.uint64(HALF)) | (print_ >> np.uint64(HALF)))):
+                    to = ((own >> np.uint64(64 - top))[:, None] ^ near).ravel()
+                    what = np.repeat(np.arange(len(own)), len(near))
+                    order = np.argsort(to, kind="stable")
+                    to, what = to[order], what[order]
+                    starts = np.flatnonzero(run_starts(to))
+                    parts = [packed(own[w], ids[w], *([groups[w]] if grouped else [])) for w in np.split(what, starts[1:])] if len(to) else []
+                    bucket = to[starts].astype(np.int64) | ((2 * k + turn) << top)
+                    yield pa.record_batch({"bucket": pa.array(bucket), "payload": pa.array(parts, pa.binary())})
+
+    def pair(key, table):
+        own = [np.concatenate(c) for c in zip(*[unpacked(p.as_py()) for p in table["payload"]])]
+        u, v = bucket_pairs(own[0], own[1], own[2] if grouped else None, key[0].as_py() & ((1 << top) - 1), top, held)
+        return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+
+    found = nodes.mapInArrow(emit, "bucket long, payload binary").groupBy("bucket").applyInArrow(pair, "u long, v long")
+    prints = [f"s{k}" for k in range(PRINTS)]
+    ends = [nodes.select(F.col("key").alias(end), *[F.col(p).alias(f"{end}{p}") for p in prints]) for end in "uv"]
+    apart = sum((F.bit_count(F.col(f"u{p}").bitwiseXOR(F.col(f"v{p}"))) for p in prints), F.lit(0))
+    return found.distinct().join(ends[0], "u").join(ends[1], "v").filter(apart <= ALL).select("u", "v")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, similar: float) -> DataFrame:
+    """The pairs whose shingles are similar enough; only texts in a pair are read into sets."""
+    pairs = written(pairs)
+    needed = pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct().join(nodes.select("key", "least"), "key")
+
+    def gather(batches):
+        for batch in batches:
+            keys = batch.column("key").to_pylist()
+            sets = [shingles(t.as_py(), width) for t in batch.column("text")]
+            own = [i for i, s in enumerate(sets) if np.uint64(_key(s)).view(np.int64) == keys[i]]
+            yield pa.record_batch({"key": pa.array([keys[i] for i in own], pa.int64()), "hashes": pa.array([sets[i].tobytes() for i in own], pa.binary())})
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("least"), "text").join(needed, "least").select("key", "text")
+    # Rows that share an id may have other texts, or the same one twice.
+    sets = written(rows.mapInArrow(gather, "key long, hashes binary").groupBy("key").agg(F.first("hashes").alias("hashes")))
+
+    def compare(batches):
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column("a"), batch.column("b")):
+                x, y = (np.frombuffer(e.as_buffer(), dtype=np.uint64) for e in (a, b))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both + 1e-9 >= similar * (len(x) + len(y) - both))
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    ends = [sets.select(F.col("key").alias(k), F.col("hashes").alias(n)) for k, n in (("u", "a"), ("v", "b"))]
+    return written(pairs.join(ends[0], "u").join(ends[1], "v").select("u", "v", "a", "b").mapInArrow(compare, "u long, v long"))
+
+
+def near_groups(docs: DataFrame, width: int = WIDTH, similar: float = SIMILAR, held: int = HELD) -> DataFrame:
+    """``doc_id, component_id`` for every row of ``docs``.
+
+    Texts with the same shingles are one node; nodes link when their similarity is at least
+    ``similar``, and ``component_id`` is the smallest doc_id reachable over links. Words
+    are lower-cased in A-Z and end at ASCII white space; texts without words are alike.
+    No link is made without the check; which similar pairs are found is a matter of chance
+    (the README has the recall). ``OTHER`` and ``ALL`` are set for a similarity of 0.8 or more.
+    """
+    need(docs, "doc_id", "text")
+    if similar < SIMILAR:
+        raise ValueError(f"candidates are only found from a similarity of {SIMILAR}")
+    prints = [f"s{k}" for k in range(PRINTS)]
+
+    def make(batches):
+        for batch in batches:
+            sets = [shingles(t.as_py(), width) for t in batch.column("text")]
+            found = np.array([sketch(s) for s in sets], dtype=np.uint64).reshape(-1, PRINTS).view(np.int64)
+            keys = np.array([_key(s) for s in sets], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(keys), *[pa.array(found[:, k]) for k in range(PRINTS)]], names=["doc_id", "key", *prints])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    keyed = written(rows.mapInArrow(make, "doc_id long, key long, " + ", ".join(f"{p} long" for p in prints)))
+    nodes = written(keyed.groupBy("key").agg(F.min("doc_id").alias("least"), *[F.first(p).alias(p) for p in prints]))
+    links = _verified(_candidates(nodes.withColumn("group", F.col("key")), False, held), docs, nodes, width, similar)
+    groups = components(links).select(F.col("u").alias("key"), F.col("v").alias("group"))
+    grouped = written(nodes.join(groups, "key", "left").withColumn("group", F.coalesce("group", "key")))
+    links = links.unionByName(_verified(_candidates(grouped, True, held), docs, nodes, width, similar))
+    roots = components(links).select(F.col("u").alias("key"), F.col("v").alias("root"))
+    rooted = written(nodes.select("key", "least").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_key = rooted.join(named, "root").select("key", "component_id")
+    return keyed.select("doc_id", "key").join(of_key, "key").select("doc_id", "component_id")
+
+
+def near_dedup(docs: DataFrame, width: int = WIDTH, similar: float = SIMILAR) -> DataFrame:
+    """``docs`` with one document of each group of near copies: the one that names it.
+
+    Rows without a doc_id stay. Columns are those of ``docs``.
+    """
+    groups = near_groups(docs.filter("doc_id IS NOT NULL"), width, similar)
+    drop = groups.filter("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(drop, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

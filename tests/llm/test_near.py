@@ -1,0 +1,72 @@
+"""Near copies by five-word shingles against brute force."""
+
+from __future__ import annotations
+
+import random
+
+import numpy as np
+
+import corpus_pipeline
+from airq.llm import near, queries
+from llm.helpers import DOCS, nasty, prose
+
+
+def brute_shingles(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def brute_groups(rows):
+    """The least id of each row's group, by comparing all pairs."""
+    sets = [brute_shingles(t) for _, t in rows]
+    label = list(range(len(rows)))
+    find = lambda i: i if label[i] == i else find(label[i])
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                label[find(i)] = find(j)
+    least: dict = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(d, least.get(find(i), d))
+    return {d: least[find(i)] for i, (d, _) in enumerate(rows)}
+
+
+def test_the_stage_drops_copies_at_five_word_similarity(spark):
+    """Also those whose 64-bit fingerprints are over four bits apart."""
+    docs = queries.documents(spark, "/root/testdata/sf0.01")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    kept = [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
+    assert sorted(kept) == sorted(set(brute_groups(rows).values()))
+
+
+def test_groups_of_altered_texts(spark):
+    """A hot group of near copies, copies of copies, and pairs just below the bound."""
+    rng = random.Random(8)
+    base, rows = prose(rng, 200, 10 ** 6).split(), []
+    for i in range(150):
+        words = list(base)
+        words[rng.randrange(200)] = f"new{i}"
+        rows.append((i, " ".join(words)))
+    for i in range(150, 200):
+        start = prose(rng, 150, 10 ** 6).split()
+        for step in range(4):  # each drops words of the one before at its end
+            rows.append((i * 10 + step, " ".join(start[: int(150 * 0.9 ** (step * (1 + i % 3)))])))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for held in (near.HELD, 2000):
+        assert {r.doc_id: r.component_id for r in near.near_groups(frame, held=held).collect()} == brute_groups(rows)
+
+
+def test_members_of_different_groups_are_paired():
+    row, group = np.array([0, 1, 2, 3, 5, 6]), np.array([1, 1, 2, 2, 7, 8])
+    first = np.array([True, False, False, False, True, False])
+    for held in (1, 3, 100):
+        got = {(int(x), int(y)) for a, b in near._across(row, first, group, held) for x, y in zip(a, b)}
+        assert got == {(0, 2), (0, 3), (1, 2), (1, 3), (5, 6)}
+
+
+def test_near_copies_on_awkward_rows(spark, docs, empty):
+    odd = nasty(spark, docs)
+    assert near.near_groups(odd.filter("doc_id IS NOT NULL")).count() == odd.filter("doc_id IS NOT NULL").count()
+    out = near.near_dedup(odd)
+    assert out.columns == odd.columns and out.filter("doc_id IS NULL").count() == 2
+    assert near.near_dedup(empty).count() == 0 and near.near_dedup(spark.createDataFrame([], DOCS)).columns == empty.columns
