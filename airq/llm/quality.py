@@ -237,15 +237,20 @@ def _gathered(sample: DataFrame, make, width: int) -> list[np.ndarray]:
 def find_lexicon(doc: np.ndarray, word: np.ndarray, toxic: np.ndarray, support: int = 4, share: float = 0.9) -> np.ndarray:
     """Words and stems of which ``share`` of the documents are toxic, and at least ``support`` documents are.
 
-    Documents that share their least word hash are mostly copies of one another and
-    count once. The support rises until less than one word is expected to pass by chance.
+    Documents with the same words and stems are copies and count once. The support rises
+    until less than one word is expected to pass by chance.
     """
     if not len(doc):
         return word[:0].astype(np.uint64)
-    least = np.full(len(toxic), np.iinfo(np.uint64).max, dtype=np.uint64)
-    np.minimum.at(least, doc, word)
-    order = np.lexsort((toxic[doc], least[doc], word))
-    order = order[run_starts(word[order], least[doc][order], toxic[doc][order])]
+    # Two independent sums over the distinct marks of a document stand for their whole set.
+    order = np.lexsort((word, doc))
+    order = order[run_starts(doc[order], word[order])]
+    doc, word = doc[order], word[order]
+    begin, whole = np.flatnonzero(run_starts(doc)), np.zeros((2, len(toxic)), dtype=np.uint64)
+    for k in range(2):
+        whole[k, doc[begin]] = np.add.reduceat(mix(word + np.uint64(k + 1)), begin)
+    order = np.lexsort((toxic[doc], whole[1, doc], whole[0, doc], word))
+    order = order[run_starts(word[order], whole[0, doc][order], whole[1, doc][order], toxic[doc][order])]
     doc, word = doc[order], word[order]
     known, at = np.unique(word, return_inverse=True)
     hits = np.bincount(at, weights=toxic[doc], minlength=len(known))
