@@ -25,9 +25,10 @@ from airq.llm.lexer import lexed
 from airq.llm.rolling import mix, powers
 from airq.llm.shared import free_name, need, written
 
-#: Marked token positions of every mask. Whatever three of 16 tokens are replaced,
-#: one of them still fits (tested).
-MASKS = ((0, 1, 2, 3, 5, 6), (0, 1, 3, 4, 5, 7), (0, 1, 2, 3, 7, 8), (0, 2, 3, 4, 5, 6))
+#: Marked token positions of every mask. Whatever three of 16 tokens, or as many of an
+#: item of 8 to 15 as may differ, are replaced, one of them still fits (tested).
+MASKS = ((0, 1, 2, 3, 5, 6), (0, 1, 3, 4, 5, 7), (0, 1, 2, 3, 7, 8), (0, 2, 3, 4, 5, 6),
+         (0, 1, 4, 6, 7, 8), (0, 1, 2, 4, 5, 6), (0, 1, 2, 3, 4, 5))
 #: Tokens of a stretch (or the whole item, if shorter), and the share that must agree.
 STRETCH, AGREE = 16, 0.8
 #: Items with fewer tokens are too short to tell anything and are left out.
