@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from airq.llm.decontam import decontaminated
 from airq.llm.mixing import mixed
-from airq.llm.near import near_dedup
 from airq.llm.quality import accepted
 from airq.llm.queries import DOMAIN_WEIGHTS, tokenizer_path
 from airq.llm.shared import documents, written
+from airq.llm.simhash import simhash_dedup
 from airq.llm.tokens import read_tokens, write_tokens
 
 
@@ -24,8 +24,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: 0.8 of their five-word shingles are shared."""
-    return near_dedup(docs)
+    """One document of each group whose SimHash fingerprints are linked, see ``simhash``."""
+    return simhash_dedup(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
