@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airq.llm import decontam, exact, mixing, quality, ring, simhash, suffix, tokens, urls, words
+from airq.llm import collocations, decontam, exact, mixing, quality, ring, simhash, suffix, tokens, trie, urls, words
 from airq.llm.shared import documents
 
 #: The rules of the url query, as (host, path, verdict).
@@ -77,6 +77,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(documents(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -89,6 +97,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": op8_substring_dedup,
         "op9_mixing": op9_mixing,
         "op10_quality": op10_quality,
+        "op11_collocations": op11_collocations,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 
@@ -120,6 +130,76 @@ FROM parts
 """
 
 
+COLLOCATION_SQL = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang,
+           unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                        '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+), words AS (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), totals AS (
+    SELECT lang, sum(len(w)) AS n FROM words GROUP BY lang
+), counts AS (
+    SELECT lang, w[i:i + k - 1] AS p, k, count(*) AS f
+    FROM words, unnest(range(1, 6)) AS t(k), unnest(range(1, len(w) - k + 2)) AS u(i)
+    GROUP BY ALL HAVING count(*) >= 100
+), candidates AS (
+    SELECT lang, p, k, f AS a, array_to_string(p, ' ') AS phrase FROM counts WHERE k > 1
+), kept AS (
+    SELECT * FROM candidates c WHERE NOT EXISTS (
+        SELECT 1 FROM candidates d WHERE d.lang = c.lang AND d.k > c.k AND 100 * d.a >= 100 * c.a
+        AND contains(' ' || d.phrase || ' ', ' ' || c.phrase || ' '))
+), cuts AS (
+    SELECT c.lang, c.phrase, c.a, l.f AS l, r.f AS r, t.n, cut,
+           CAST(CAST(1000 AS HUGEINT) * c.a * t.n // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+    FROM kept c JOIN totals t ON t.lang = c.lang, unnest(range(1, c.k)) AS u(cut)
+    JOIN counts l ON l.lang = c.lang AND l.p = c.p[1:cut] JOIN counts r ON r.lang = c.lang AND r.p = c.p[cut + 1:]
+), lowest AS (
+    SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r,
+       CAST(n AS BIGINT) AS n, score
+FROM lowest QUALIFY rank <= 2000
+"""
+
+#: A conversation's digits, each followed by seven more steps of the CRC.
+_STEP = "xor({a} >> 1, 3988292384 * ({a} & 1))"
+_CRC = (
+    "xor(list_reduce(flatten([[4294967295], flatten(list_transform(range(1, length(CAST(c AS VARCHAR)) + 1), "
+    "lambda i: [CAST(ascii(substr(CAST(c AS VARCHAR), i, 1)) AS BIGINT), -1, -1, -1, -1, -1, -1, -1]))]), "
+    f"lambda a, x: CASE WHEN x >= 0 THEN {_STEP.format(a='xor(a, x)')} ELSE {_STEP.format(a='a')} END), 4294967295) % 6"
+)
+
+TRIE_SQL = f"""
+WITH turns AS (
+    SELECT conv_id AS c, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS own
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), asked AS (
+    SELECT c, own, {_CRC} AS h FROM turns
+), built AS (
+    SELECT a.c, list_concat(coalesce(b.own, [])[1:a.h], a.own[a.h + 1:]) AS seq
+    FROM asked a LEFT JOIN turns b ON b.c = a.c - a.c % 100
+), members AS (
+    SELECT c, len(seq) AS length, d, seq[1:d] AS node FROM built, unnest(range(len(seq) + 1)) AS t(d)
+), nodes AS (
+    SELECT node, d, min(c) AS conv_id, count(*) AS n_convs, node[1:d - 1] AS above,
+           CASE WHEN d > 0 THEN (count(*) - 1) * length(node[d].text) ELSE 0 END AS saving,
+           sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (length = d), '')) AS ends_sha256
+    FROM members GROUP BY node, d
+), kids AS (
+    SELECT above, count(*) AS n FROM nodes WHERE d > 0 GROUP BY above
+), subtree AS (
+    SELECT n.node[1:k] AS node, sum(saving) AS saved, count(*) FILTER (kids.n IS NULL) AS leaves
+    FROM nodes n LEFT JOIN kids ON kids.above = n.node, unnest(range(n.d + 1)) AS t(k) GROUP BY 1
+)
+SELECT n.conv_id, n.d AS depth, CASE WHEN n.d > 0 THEN p.conv_id END AS parent_conv_id, n.n_convs,
+       coalesce(kids.n, 0) AS n_children, s.leaves AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN subtree s ON s.node = n.node LEFT JOIN kids ON kids.above = n.node LEFT JOIN nodes p ON p.node = n.above
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The other queries hash in ways, or keep state, that SQL does not express."""
-    return {"op1_exact_dedup": EXACT_SQL, "op7_url_filter": URL_SQL}
+    return {"op1_exact_dedup": EXACT_SQL, "op7_url_filter": URL_SQL, "op11_collocations": COLLOCATION_SQL,
+            "op13_prefix_trie": TRIE_SQL}

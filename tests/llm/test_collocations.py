@@ -1,0 +1,103 @@
+"""Collocations and their index against brute force."""
+
+from __future__ import annotations
+
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from airq.llm import collocations
+from airq.llm.fmindex import Index
+from llm.helpers import DOCS, nasty
+
+
+def brute(rows, least, depth, first):
+    """The contract in plain Python."""
+    n, f = Counter(), defaultdict(Counter)
+    for text, lang in rows:
+        lang = "und" if lang is None else lang
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        for piece in re.split("[.,;:!?\n-\r]", low):
+            words = re.findall("[^ \t]+", piece)
+            n[lang] += len(words)
+            for k in range(1, depth + 1):
+                f[lang].update(tuple(words[i:i + k]) for i in range(len(words) - k + 1))
+    out = []
+    for lang, counts in f.items():
+        candidates = {p: a for p, a in counts.items() if len(p) > 1 and a >= least}
+        held = []
+        for p, a in candidates.items():
+            inside = any(len(q) > len(p) and 100 * b >= 100 * a and any(q[i:i + len(p)] == p for i in range(len(q)))
+                         for q, b in candidates.items())
+            if not inside:
+                cuts = [(1000 * a * n[lang] // (counts[p[:k]] * counts[p[k:]]), k) for k in range(1, len(p))]
+                score, k = min(cuts)
+                held.append((lang, " ".join(p), a, counts[p[:k]], counts[p[k:]], n[lang], score))
+        held.sort(key=lambda h: (-h[6], -h[2], h[1].encode()))
+        out += [(h[0], i + 1, *h[1:]) for i, h in enumerate(held[:first])]
+    return sorted(out)
+
+
+COLUMNS = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+
+
+@pytest.fixture(scope="module")
+def table(spark):
+    rng = random.Random(3)
+    fixed = ["new york city", "a b c d e f", "Ünï cödé 💡", "x x x x x x x x"]
+    texts = []
+    for i in range(300):
+        words = [rng.choice([f"w{int(rng.random() ** 3 * 40)}", rng.choice(fixed), "THE", "."]) for _ in range(rng.randint(0, 60))]
+        texts.append(rng.choice([" ", "\t", " , ", "  "]).join(words) + rng.choice(["", "!\r\n", "\x0b\x00"]))
+    return [(i, t, rng.choice(["en", "en", "de", None]), None, len(t or "")) for i, t in enumerate(texts + [None, "", " \t\n"])]
+
+
+@pytest.mark.parametrize("shard_words, depth, first", [(3 << 20, 5, 2000), (200, 5, 7), (60, 2, 2000), (500, 3, 2000)])
+def test_equals_brute_force_however_text_is_dealt(spark, table, shard_words, depth, first):
+    docs = nasty(spark, spark.createDataFrame(table, DOCS).repartition(6)).cache()
+    rows = [(r.text, r.lang) for r in docs.collect()]
+    got = collocations.collocations(docs, 20, depth, first, shard_words)
+    assert got.columns == COLUMNS
+    want = brute(rows, 20, depth, first)
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 15
+
+
+def test_empty_tables(spark, empty):
+    assert collocations.collocations(empty).collect() == []
+    lone = spark.createDataFrame([(None, None)], "text string, lang string")
+    assert collocations.collocations(lone, 1).collect() == []
+
+
+def test_scores_beyond_64_bits(spark):
+    """``1000 a n`` is about 1.6e13 here; the expression is tried on its own with larger counts."""
+    from pyspark.sql import functions as F
+
+    row = spark.sql("SELECT 4000000000000000000L AS a, 9000000000000L AS n, 4000000000000000001L AS l, 4000000000000000007L AS r")
+    got = row.select(collocations.score_of("a", "n", "l", "r").alias("s")).first().s
+    assert got == 1000 * 4 * 10 ** 18 * 9 * 10 ** 12 // ((4 * 10 ** 18 + 1) * (4 * 10 ** 18 + 7))
+    assert row.select(collocations.score_of("a", "n", F.lit(10 ** 9), F.lit(10 ** 15)).alias("s")).first().s == 36 * 10 ** 9 * 10 ** 0
+
+
+def test_cut_pieces_join_to_the_text():
+    rng = random.Random(5)
+    for _ in range(200):
+        data = bytes(rng.choice(b"ab. ") for _ in range(rng.randint(0, 60)))
+        parts = list(collocations._cut(data, rng.randint(1, 20)))
+        assert b"".join(parts) == data and all(p[:1] in (b".", b"") for p in parts[1:])
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_index_lists_all_phrases_on_either_side(seed):
+    rng = np.random.default_rng(seed)
+    text = rng.integers(0, rng.integers(2, 9), size=rng.integers(0, 400)).astype(np.int32)
+    index = Index(text, 5)
+    plain = [0, *text.tolist(), 0]
+    for sides in ("lrlr", "rrrr", "llll", "rlrl"):
+        found = index.single()
+        for k, way in enumerate(sides, 2):
+            found = index.left(found) if way == "l" else index.right(found)
+            want = Counter(tuple(plain[i:i + k]) for i in range(len(plain) - k + 1) if 0 not in plain[i:i + k])
+            assert dict(zip(map(tuple, found.words.tolist()), found.count.tolist())) == want
