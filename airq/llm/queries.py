@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airq.llm import collocations, decontam, exact, mixing, quality, ring, simhash, suffix, tokens, trie, urls, words
+from airq.llm import collocations, decontam, exact, minhash, mixing, quality, ring, simhash, suffix, tokens, trie, urls, words
 from airq.llm.shared import documents
 
 #: The rules of the url query, as (host, path, verdict).
@@ -81,6 +81,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(documents(spark, sf_dir))
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.minhash_groups(documents(spark, sf_dir))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(documents(spark, sf_dir, "conversations"))
 
@@ -98,6 +102,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_mixing": op9_mixing,
         "op10_quality": op10_quality,
         "op11_collocations": op11_collocations,
+        "op12_minhash": op12_minhash,
         "op13_prefix_trie": op13_prefix_trie,
     }
 
@@ -163,6 +168,26 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p
 FROM lowest QUALIFY rank <= 2000
 """
 
+MINHASH_SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words
+), shingles AS (
+    SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets
+), links AS (
+    SELECT a.doc_id AS u, b.doc_id AS v FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id <> b.doc_id
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reach(u, v) AS (
+    SELECT doc_id, doc_id FROM sets UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u
+), least AS (
+    SELECT u, min(v) AS component_id FROM reach GROUP BY u
+)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN least ON u = doc_id
+"""
+
 #: A conversation's digits, each followed by seven more steps of the CRC.
 _STEP = "xor({a} >> 1, 3988292384 * ({a} & 1))"
 _CRC = (
@@ -202,4 +227,4 @@ FROM nodes n JOIN subtree s ON s.node = n.node LEFT JOIN kids ON kids.above = n.
 def oracle_sql() -> dict[str, str]:
     """The other queries hash in ways, or keep state, that SQL does not express."""
     return {"op1_exact_dedup": EXACT_SQL, "op7_url_filter": URL_SQL, "op11_collocations": COLLOCATION_SQL,
-            "op13_prefix_trie": TRIE_SQL}
+            "op12_minhash": MINHASH_SQL, "op13_prefix_trie": TRIE_SQL}
