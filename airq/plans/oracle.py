@@ -262,6 +262,7 @@ def oracle_sql() -> dict[str, str]:
     )
     return {
         "clean_readings": _sql(f"SELECT {ALL_COLUMNS} FROM readings"),
+        "readings_incremental": _sql(f"SELECT {ALL_COLUMNS} FROM readings"),
         "read_readings": _sql(f"SELECT {ALL_COLUMNS} FROM readings"),
         "aqi_band": """
 SELECT band, count(*) AS readings, CAST(min(b) AS DOUBLE) AS lowest, CAST(max(b) AS DOUBLE) AS highest

@@ -105,5 +105,6 @@ def queries() -> dict[str, Query]:
     return {
         "clean_readings": tables.cleaned_readings,
         "read_readings": tables.readings_through_csv,
+        "readings_incremental": tables.readings_incremental,
         **{name: _on_stored(operator) for name, operator in OPERATORS.items()},
     }

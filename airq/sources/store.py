@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from airq.schema import STATE, YEAR
+from airq.sources.files import fingerprint, input_files
 
-# (application, input, its files) -> (path of the copy, frame that reads it)
-_kept: dict[tuple, tuple[str, DataFrame]] = {}
+# (application, name) -> (path of the copy, frame that reads it, fingerprint of its input files)
+_kept: dict[tuple, tuple[str, DataFrame, tuple | None]] = {}
 
 
 def work_folder(spark: SparkSession, folder: str | None = None) -> str | None:
@@ -41,19 +42,6 @@ def new_folder(spark: SparkSession, name: str, folder: str | None = None) -> str
     return f"{base}/airq-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}/{name}"
 
 
-def files_of(spark: SparkSession, paths: Iterable[str]) -> tuple:
-    """Names, sizes and times of all files under ``paths``; they change when the input does."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    found = []
-    for path in paths:
-        root = jvm.org.apache.hadoop.fs.Path(path)
-        listed = root.getFileSystem(conf).listFiles(root, True)
-        while listed.hasNext():
-            file = listed.next()
-            found.append((file.getPath().toString(), file.getLen(), file.getModificationTime()))
-    return tuple(sorted(found))
-
-
 def write_readings(readings: DataFrame, path: str) -> None:
     """Write cleaned readings as parquet, one folder per year.
 
@@ -77,11 +65,13 @@ def stored(
     build: Callable[[], DataFrame],
     inputs: Iterable[str] = (),
     folder: str | None = None,
+    refresh: bool = False,
 ) -> DataFrame:
     """The stored copy of ``build()``, written on the first call per application.
 
-    ``name`` and the files under ``inputs`` identify it, so changed input is written
-    anew. The frame that reads the copy is kept, so its files are listed once per session.
+    ``name`` identifies it. The frame that reads the copy is kept, so later calls touch no file. With
+    ``refresh`` the files under ``inputs`` are listed once more, in bulk, and the copy is written anew if
+    any was added, removed or rewritten (``snapshots`` follows single files instead).
     Without a shared folder the lazy plan is returned with a warning, which gives the
     same rows without the reuse.
     """
@@ -89,9 +79,10 @@ def stored(
     if base is None:
         warnings.warn("no shared folder (spark.checkpoint.dir): the cleaned table is not stored", stacklevel=2)
         return build()
-    key = (spark.sparkContext.applicationId, name, files_of(spark, inputs))
-    if key in _kept:
-        path, kept = _kept[key]
+    key, inputs = (spark.sparkContext.applicationId, name), list(inputs)
+    found = fingerprint(input_files(spark, inputs)) if inputs and (refresh or key not in _kept) else None
+    if key in _kept and (found is None or found == _kept[key][2]):
+        path, kept, found = _kept[key]
         if kept.sparkSession is not spark:
             kept = load_readings(spark, path, kept.schema)
     else:
@@ -99,5 +90,5 @@ def stored(
         path = new_folder(spark, "readings", base)
         write_readings(readings, path)
         kept = load_readings(spark, path, readings.schema)
-    _kept[key] = (path, kept)
+    _kept[key] = (path, kept, found)
     return kept

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from airq.functions.cells import aqi_band
 from airq.sources.readings import clean, missing_to_null, read_readings
-from airq.sources.store import files_of, new_folder, stored, work_folder
+from airq.sources.snapshots import load_snapshot, refresh
+from airq.sources.store import new_folder, stored, work_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -74,7 +75,7 @@ def cleaned_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TABLES = ("lineitem", "orders", "customer", "nation", "part")
-# (application, input files) -> path of their CSV copy
+# (application, tables) -> path of their CSV copy
 _csv: dict[tuple, str] = {}
 
 
@@ -82,15 +83,15 @@ def inputs(sf_dir: str) -> list[str]:
     return [f"{sf_dir}/{name}.parquet" for name in TABLES]
 
 
-def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def readings(spark: SparkSession, sf_dir: str, refresh: bool = False) -> DataFrame:
     """The cleaned table, stored once per application and read back per query."""
-    return stored(spark, sf_dir, lambda: cleaned_readings(spark, sf_dir), inputs(sf_dir))
+    return stored(spark, sf_dir, lambda: cleaned_readings(spark, sf_dir), inputs(sf_dir), refresh=refresh)
 
 
-def write_raw_csv(raw: DataFrame, path: str) -> None:
+def write_raw_csv(raw: DataFrame, path: str, mode: str = "error") -> None:
     """Write text readings as CSV, padding kept."""
     (
-        raw.write.option("header", True)
+        raw.write.mode(mode).option("header", True)
         .option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
@@ -98,18 +99,52 @@ def write_raw_csv(raw: DataFrame, path: str) -> None:
     )
 
 
-def readings_through_csv(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
-    """The cleaned table, by way of one CSV copy per application in the shared folder.
+def _shared(spark: SparkSession, folder: str | None) -> str:
+    """The shared folder; a local session without one, as in a test, gets a temporary one."""
+    found = work_folder(spark, folder)
+    if found is None and spark.sparkContext.master.startswith("local["):
+        found = tempfile.mkdtemp(prefix="airq-")
+    if found is None:
+        raise ValueError("set spark.checkpoint.dir to a shared folder to write files")
+    return found
 
-    A local session without a shared folder, as in a test, gets a temporary one.
-    """
-    if work_folder(spark, folder) is None and spark.sparkContext.master.startswith("local["):
-        folder = tempfile.mkdtemp(prefix="airq-")
-    key = (spark.sparkContext.applicationId, files_of(spark, inputs(sf_dir)))
+
+def readings_through_csv(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """The cleaned table, by way of one CSV copy per application in the shared folder."""
+    folder = _shared(spark, folder)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _csv:
         path = new_folder(spark, "csv", folder)
-        if path is None:
-            raise ValueError("set spark.checkpoint.dir to a shared folder to write CSV files")
         write_raw_csv(raw_readings(spark, sf_dir), path)
         _csv[key] = path
     return clean(read_readings(spark, _csv[key]))
+
+
+def deliver(spark: SparkSession, sf_dir: str, path: str) -> list[int]:
+    """Two deliveries of the readings as CSV files, with a refresh of the table after each; the versions.
+
+    The first lacks a quarter, has a draft of another one and a file that is withdrawn later. The
+    second brings what was missing, replaces the draft and withdraws that file.
+    """
+    raw = raw_readings(spark, sf_dir)
+    quarter = F.pmod(F.xxhash64(*raw.columns), F.lit(4))
+    draft = raw.withColumn("state", F.lit("draft"))
+
+    def write(number, rows, of):
+        write_raw_csv(rows.filter(quarter == of), f"{path}/input/{number}", "overwrite")
+
+    write(0, raw, 0)
+    write(1, draft, 1)
+    write(3, raw, 3)
+    write(9, draft, 2)
+    first = refresh(spark, f"{path}/table", [f"{path}/input"])
+    write(1, raw, 1)
+    write(2, raw, 2)
+    write_raw_csv(raw.limit(0), f"{path}/input/9", "overwrite")
+    return [first, refresh(spark, f"{path}/table", [f"{path}/input"])]
+
+
+def readings_incremental(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """The cleaned table as it stands after two deliveries (see ``deliver``)."""
+    path = new_folder(spark, "growing", _shared(spark, folder))
+    return load_snapshot(spark, f"{path}/table", deliver(spark, sf_dir, path)[-1])

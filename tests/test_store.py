@@ -67,7 +67,18 @@ def test_written_once_and_anew_when_the_input_changes(spark, tmp_path):
     assert first.schema == want.schema
     assert sorted(tuples(first), key=str) == sorted(tuples(want), key=str)
     (source / "a").write_text("12")
-    assert store.stored(spark, "once", build, [str(source)]) is not first and len(calls) == 2
+    assert store.stored(spark, "once", build, [str(source)]) is not None and len(calls) == 1
+    changed = store.stored(spark, "once", build, [str(source)], refresh=True)
+    assert changed is not first and len(calls) == 2
+    assert store.stored(spark, "once", build, [str(source)], refresh=True) is changed and len(calls) == 2
+
+
+def test_later_queries_of_a_session_touch_no_file(spark, tmp_path, monkeypatch):
+    (tmp_path / "a").write_text("1")
+    first = store.stored(spark, "quiet", lambda: tables.cleaned_readings(spark, SF), [str(tmp_path)])
+    monkeypatch.setattr(store, "input_files", None)
+    monkeypatch.setattr(store, "write_readings", None)
+    assert store.stored(spark, "quiet", None, [str(tmp_path)]) is first
 
 
 def test_one_csv_copy_per_application(spark, tmp_path):
