@@ -12,8 +12,8 @@ band meet in a bucket and are linked to its least member, which gives blocks: li
 only lie inside one. Every member's full set is sent once to the task of its block,
 where members are compared set by set, those with the most company first; what is
 linked already is not compared again. A block beyond what a task should hold is
-compared with its most central member first, then only the buckets that still hold
-unlinked members count; what is too large even then is compared in parts, two parts a task.
+compared with its most central member first; then only members of buckets that still hold
+unlinked ones stay, and what is too large even then is compared in parts, two parts a task.
 """
 
 from __future__ import annotations
@@ -298,12 +298,13 @@ def _links(docs: DataFrame, classes: DataFrame, width: int, percent: int, most:
     # Large blocks: their center first, then buckets that still hold unlinked members.
     big = sets.filter("large")
     first = written(_central(big, percent))
-    label = components(first).withColumnRenamed("u", "id").withColumnRenamed("v", "label")
-    labelled = written(blocks.join(large, "block").select("id", "n_shingles", "company").join(label, "id", "left").withColumn(
-        "label", F.coalesce("label", "id")))
+    label = first.select(F.col("u").alias("id"), F.col("v").alias("label"))
+    labelled = written(blocks.join(large, "block").join(label, "id", "left").select(
+        "id", "block", "n_shingles", F.coalesce("label", "id").alias("label")))
     open_ = met.join(labelled.select("id", "label"), "id").groupBy("band", "key").agg(
         F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("band", "key")
-    again = written(_blocks(written(met.join(written(open_), ["band", "key"]))).join(labelled, "id"))
+    still = written(met.join(written(open_), ["band", "key"]).select("id").distinct())
+    again = written(labelled.join(still, "id"))
     parts = too_large(again).selectExpr("block", f"CAST(ceil(greatest(members / {most}D, total / {shingles}D)) * 2 AS INT) AS parts")
     dealt = again.join(written(parts), "block", "left").select(
         "id", "block", "label", F.coalesce("parts", F.lit(1)).alias("parts"),
