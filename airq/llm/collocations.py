@@ -3,9 +3,9 @@
 Tasks turn the texts they read into shards: per language, numbers of words with breaks
 between pieces. Texts do not move. A shard's words are counted, and words that are frequent
 over all shards get a number that all shards share. Then every shard's index lists its
-phrases by interval extension, first those of two frequent words, then, in text that is broken
-where two words are no frequent pair, all longer ones up to the depth. Counts are summed
-across shards after each step. What a shard learns of the others comes to it by a
+phrases by interval extension: those of two frequent words, then, in the stretches where one
+frequent pair follows the other, those of three, and in stretches of frequent triples all longer ones up to
+the depth. Counts are summed across shards after each step. What a shard learns of the others comes to it by a
 shuffle on the shard, restricted to what occurs in it, so nothing is broadcast.
 
 An extension of a phrase that is as frequent as the phrase itself marks it as part of a longer one.
@@ -17,6 +17,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -129,16 +130,32 @@ def _numbered(payload: bytes, local: np.ndarray, shared: np.ndarray) -> tuple[np
     return text[(text > 0) | np.append(True, text[:-1] > 0)], np.concatenate([[-1], shared[order]])
 
 
-def _broken(text: np.ndarray, pairs: np.ndarray, base: int) -> np.ndarray:
-    """``text`` with breaks between neighbours that are not among ``pairs``; lone words go."""
-    key = text[:-1].astype(np.int64) * base + text[1:]
-    at = np.minimum(np.searchsorted(pairs, key), max(0, len(pairs) - 1))
-    held = (pairs[at] == key) if len(pairs) else np.zeros(len(key), dtype=bool)
-    after, before = np.append(held, False), np.append(False, held)
-    kept = np.flatnonzero(after | before)
-    place = np.arange(len(kept)) + np.cumsum(~after[kept]) - ~after[kept]
-    out = np.zeros(len(kept) + int((~after[kept]).sum()), dtype=np.int32)
-    out[place] = text[kept]
+def _held(text: np.ndarray, phrases: np.ndarray, base: int) -> np.ndarray:
+    """Whether one of ``phrases`` (a row of words each) starts at each place of ``text``."""
+    code, known = text.astype(np.int64), phrases[:, 0].astype(np.int64)
+    for k in range(1, phrases.shape[1]):
+        pairs, known = np.unique(known * base + phrases[:, k], return_inverse=True)
+        key = code[:-1] * base + text[k:]
+        at = np.minimum(np.searchsorted(pairs, key), max(0, len(pairs) - 1))
+        found = (pairs[at] == key) if len(pairs) else np.zeros(len(key), dtype=bool)
+        code = np.where(found & (code[:-1] >= 0), at, -1)
+    return code >= 0
+
+
+def _runs(text: np.ndarray, held: np.ndarray, length: int) -> np.ndarray:
+    """The stretches of ``text`` in which a phrase of ``length`` words starts at one place after the other.
+
+    Only stretches with room for a longer phrase; stretches may share words, longer phrases
+    lie in one of them.
+    """
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], held, [False]]).astype(np.int8)))
+    first, end = edge[::2], edge[1::2]
+    first, end = first[end - first > 1], end[end - first > 1]
+    size = end - first + length - 1
+    at = np.cumsum(size + 1) - (size + 1)
+    place = np.arange(int(size.sum())) + np.repeat(np.arange(len(size)), size)
+    out = np.zeros(int(size.sum()) + len(size), dtype=np.int32)
+    out[place] = text[place - np.repeat(at, size) + np.repeat(first, size)]
     return out
 
 
@@ -158,26 +175,37 @@ def _pairs(texts: DataFrame, words: DataFrame) -> DataFrame:
         count, "shard long, first long, second long, n long")
 
 
-def _longer(texts: DataFrame, known: DataFrame, depth: int) -> DataFrame:
-    """``ids, n`` of each shard's phrases of three to ``depth`` words whose pairs are all frequent."""
+def _longer(texts: DataFrame, known: DataFrame, length: int, depth: int) -> DataFrame:
+    """``shard, ids, n`` of phrases of more than ``length`` and up to ``depth`` words, all of whose parts of
+    ``length`` words are known.
+
+    ``known`` has per shard its words (``local``, one id) and phrases of that length (their ids).
+    """
+    kind = pa.list_(pa.int64())
+
     def count(left, right):
-        out = []
+        out = [pa.table({"shard": pa.array([], pa.int64()), "ids": pa.array([], kind), "n": pa.array([], pa.int64())})]
         if left.num_rows and right.num_rows:
-            a, b, single = right["a"].to_numpy(), right["b"].to_numpy(), right["single"].to_numpy()
-            text, shared = _numbered(left["payload"][0].as_py(), a[single], b[single])
-            base = len(shared)
-            # Every word of a pair is frequent, so it has a number here.
-            one, two = np.searchsorted(shared, a[~single]), np.searchsorted(shared, b[~single])
-            index = Index(_broken(text, np.sort(one * base + two), base), depth)
+            single = right["local"].is_valid()
+            words, phrases = right.filter(single), right.filter(pc.invert(single))
+            text, shared = _numbered(left["payload"][0].as_py(), words["local"].to_numpy(), _flat(words["ids"]))
+            # Every word of a phrase is frequent, so it has a number here.
+            held = _held(text, np.searchsorted(shared, _flat(phrases["ids"])).reshape(-1, length), len(shared))
+            index = Index(_runs(text, held, length), depth)
             found = index.left(index.single())
-            for length in range(3, depth + 1):
-                found = index.right(found) if length % 2 else index.left(found)
-                ids = pa.ListArray.from_arrays(
-                    np.arange(0, found.words.size + 1, length, dtype=np.int32), pa.array(shared[found.words].ravel()))
-                out.append(pa.table({"ids": ids, "n": found.count.astype(np.int64)}))
-        return pa.concat_tables(out) if out else pa.table({"ids": pa.array([], pa.list_(pa.int64())), "n": pa.array([], pa.int64())})
+            for size in range(3, depth + 1):
+                found = index.right(found) if size % 2 else index.left(found)
+                if size > length:
+                    ids = pa.ListArray.from_arrays(
+                        np.arange(0, found.words.size + 1, size, dtype=np.int32), pa.array(shared[found.words].ravel()))
+                    out.append(pa.table({"shard": np.full(len(ids), left["shard"][0].as_py()), "ids": ids, "n": found.count.astype(np.int64)}))
+        return pa.concat_tables(out)
+
+    return texts.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(count, "shard long, ids array<bigint>, n long")
+
 
-    return texts.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(count, "ids array<bigint>, n long")
+def _flat(lists: pa.ChunkedArray) -> np.ndarray:
+    return lists.combine_chunks().flatten().to_numpy()
 
 
 def _nothing(names: tuple[str, ...]) -> pa.Table:
@@ -222,10 +250,20 @@ def collocations(
     names = words.filter("uid = gid").select("gid", "lang", F.col("word").cast("string").alias("word"), "f")
     counts = names.select(F.array("gid").alias("ids"), "f").unionByName(
         pairs.select(F.array("first", "second").alias("ids"), "f").distinct())
+    here = words.select("shard", F.col("local").cast("long").alias("local"), F.array("gid").alias("ids"))
+
+    def with_phrases(rows):
+        return here.unionByName(rows.select("shard", F.lit(None).cast("long").alias("local"), "ids"))
+
     if depth > 2:
-        here = known.select("shard", F.col("local").cast("long").alias("a"), F.col("gid").alias("b"), F.lit(True).alias("single"))
-        here = here.unionByName(pairs.select("shard", F.col("first").alias("a"), F.col("second").alias("b"), F.lit(False).alias("single")))
-        longer = _longer(texts, here, depth).groupBy("ids").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
+        three = _longer(texts, with_phrases(pairs.select("shard", F.array("first", "second").alias("ids"))), 2, 3).select(
+            "shard", *[F.col("ids")[i].alias(c) for i, c in enumerate("xyz")], "n")
+        triples = written(
+            three.withColumn("f", F.sum("n").over(Window.partitionBy("x", "y", "z"))).filter(F.col("f") >= least)
+            .select("shard", F.array("x", "y", "z").alias("ids"), "f"))
+        counts = counts.unionByName(triples.select("ids", "f").distinct())
+    if depth > 3:
+        longer = _longer(texts, with_phrases(triples), 3, depth).groupBy("ids").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
         counts = counts.unionByName(longer)
     counts = written(counts)
 
