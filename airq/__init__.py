@@ -55,6 +55,14 @@ from airq.operators.regions import (
     state_status_breakdown,
     top_areas,
 )
+from airq.operators.summary import (
+    merge_sums,
+    partial_sums,
+    reproducible_means,
+    rollup_sums,
+    snapshot_sums,
+    summary_report,
+)
 from airq.operators.trends import (
     annual_summary,
     annual_summary_text,
@@ -69,5 +77,6 @@ from airq.operators.trends import (
     year_month_mean,
 )
 from airq.sources.readings import clean, clean_readings, read_readings
+from airq.sources.snapshots import load_snapshot, refresh
 from airq.sources.store import load_readings, stored, write_readings
 

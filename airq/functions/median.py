@@ -1,94 +1,82 @@
-"""Exact median that never holds a whole group in one task."""
+"""Exact median by radix selection, which never holds a whole group in one task."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from airq.functions.frames import with_row
+#: Low bits that the first and the second round leave open: 2**22 buckets at most, then 2**21.
+FIRST, SECOND = 42, 21
 
-#: Values are dealt into COARSE * COARSE buckets.
-COARSE = 32
-ACCURACY = 20_000
 
+def ordered_bits(table: str, value: str, columns: str) -> str:
+    """SQL: ``columns`` of ``table`` and ``code``, the bits of a double as a long in the order of the doubles.
 
-def cuts_of(value: str, n: str) -> list[Column]:
-    """Aggregates that ``median_of_counts`` needs: bounds of the buckets, and the total.
-
-    The bounds are approximate percentiles of the distinct values, so buckets hold about
-    as many distinct values each, wherever these lie.
+    Minus zero counts as zero. The exponent comes from a logarithm, which may be off by one next to a power of
+    two; powers of two and what is multiplied by them are exact.
     """
-    parts = COARSE * COARSE
-    shares = ", ".join(f"{i / parts}D" for i in range(1, parts))
-    return [
-        F.expr(f"percentile_approx({value}, array({shares}), {ACCURACY}) AS cuts"),
-        F.expr(f"sum(IF({value} IS NULL, 0, {n})) AS total"),
-    ]
+    return f"""
+SELECT {columns}, CASE WHEN {value} = 0D THEN 0L ELSE IF({value} < 0D, -1L, 1L) * CASE
+    -- Doubles under the least normal one all have exponent field 0.
+    WHEN size < pow(2D, -1022) THEN CAST(size * pow(2D, 537) * pow(2D, 537) AS BIGINT)
+    ELSE (power + 1023) * {1 << 52}L + CAST((size / pow(2D, power) - 1D) * {1 << 52}D AS BIGINT) END END AS code
+FROM (SELECT *, guess + CASE WHEN size < pow(2D, guess) THEN -1
+                             WHEN guess < 1023 AND size >= pow(2D, guess + 1) THEN 1 ELSE 0 END AS power
+      FROM (SELECT *, abs({value}) AS size, CAST(floor(log2(abs({value}))) AS INT) AS guess FROM {table}))"""
 
 
 def median_of_counts(
-    counts: DataFrame,
-    value: str,
-    n: str,
-    keys: Sequence[str] = (),
-    name: str = "median",
-    spans: DataFrame | None = None,
+    counts: DataFrame, value: str, n: str, keys: Sequence[str] = (), name: str = "median"
 ) -> DataFrame:
     """Exact, interpolated median per key from ``keys, value, n``.
 
     ``counts`` has one row per distinct value with the number of times it
-    occurs, so readings are combined on the map side before any shuffle. The
-    distinct values are dealt into 1,024 buckets of about as many of them each;
-    running totals over the buckets show which one or two hold the middle ranks,
-    and only values of those are put in order. ``percentile`` would keep all
-    distinct values of a key in one task's memory instead.
+    occurs, so readings are combined on the map side before any shuffle. Values are dealt by
+    their leading bits; running totals over the buckets show which one or two hold
+    the middle ranks. Those are dealt by the next bits, and only what is left then is put
+    in order: at most 2**22 rows per key in each step, however many values there are and wherever they
+    lie. ``percentile`` would keep all distinct values of a key in one task's memory
+    instead.
 
-    Values must not be null. Without keys the result is one row, NULL when
-    nothing was counted. ``spans`` has ``cuts_of`` per key where a caller has
-    aggregated them with figures of its own.
+    Values must be finite. Without keys the result is one row, NULL when
+    nothing was counted.
     """
-    keys = list(keys)
-    partition = f"PARTITION BY {', '.join(keys)}" if keys else ""
+    own = "".join(f"{k}, " for k in keys)
+    partition = f"PARTITION BY {own[:-2]}" if keys else ""
     running = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    grouped = f"GROUP BY {own[:-2]}" if keys else ""
     # A row that ends at rank ``r`` holds the lower or the upper middle rank.
     middle = "{r} - {n} < total div 2 + 1 AND {r} >= (total + 1) div 2"
 
-    if spans is None:
-        spans = counts.groupBy(*keys).agg(*cuts_of(value, n))
-    # The bucket is the number of bounds below the value, found in two steps.
-    step = f"size(filter(slice(cuts, coarse * {COARSE} + 1, {COARSE - 1}), c -> c < {value}))"
-    placed = (
-        with_row(counts, spans, keys)
-        .selectExpr(
-            *keys, value, n, "total", "cuts",
-            f"size(filter(sequence(1, {COARSE - 1}), i -> cuts[i * {COARSE} - 1] < {value})) AS coarse",
-        )
-        .selectExpr(*keys, value, n, "total", f"coarse * {COARSE} + {step} AS bucket")
-    )
-    middle_buckets = (
-        placed.groupBy(*keys, "total", "bucket")
-        .agg(F.expr(f"sum({n}) AS held"))
-        .selectExpr("*", f"sum(held) OVER ({partition} ORDER BY bucket {running}) AS reached")
-        .filter(middle.format(r="reached", n="held"))
-        .groupBy(*keys)
-        .agg(
-            F.expr("min(bucket) AS first_bucket"),
-            F.expr("max(bucket) AS last_bucket"),
-            F.expr("min(reached - held) AS before"),
-        )
-    )
-    return (
-        with_row(placed, middle_buckets, keys)
-        # The count is looked at so that this stays above the aggregation: on the value
-        # alone it would sink to a scan of its own.
-        .filter(f"IF({n} >= 0, bucket, NULL) BETWEEN first_bucket AND last_bucket")
-        .selectExpr(
-            *keys, value, n, "total",
-            f"before + sum({n}) OVER ({partition} ORDER BY {value} {running}) AS rank",
-        )
-        .filter(middle.format(r="rank", n=n))
-        .groupBy(*keys)
-        .agg(F.expr(f"(min({value}) + max({value})) / 2 AS {name}"))
-    )
+    def ends(rows: str, bits: int, total: str, before: str, carried: str) -> str:
+        """First and last bucket with a middle rank, and what comes before them."""
+        return f"""
+SELECT {own} total, min(bucket) AS first_bucket, max(bucket) AS last_bucket, min(reached - held) AS before
+FROM (SELECT {own} bucket, held, {total} AS total, {before} + sum(held) OVER ({partition} ORDER BY bucket {running}) AS reached
+      FROM (SELECT {own} {carried} shiftright(code, {bits}) AS bucket, sum({n}) AS held FROM {rows}
+            GROUP BY {own} {carried} shiftright(code, {bits})))
+WHERE {middle.format(r="reached", n="held")} GROUP BY {own} total"""
+
+    def inside(rows: str, buckets: str, bits: int) -> str:
+        columns = f"{own} {value}, {n}, code"
+        if keys:
+            joined = f"(SELECT {columns} FROM {rows}) JOIN {buckets} USING ({own[:-2]})"
+            return f"SELECT {columns}, total, before FROM {joined} WHERE shiftright(code, {bits}) BETWEEN first_bucket AND last_bucket"
+        return f"""
+SELECT {columns}, ends.total, ends.before
+FROM (SELECT {columns}, (SELECT struct(*) FROM {buckets}) AS ends FROM {rows})
+WHERE shiftright(code, {bits}) BETWEEN ends.first_bucket AND ends.last_bucket"""
+
+    # The count is looked at so that this stays above the aggregation: on the value
+    # alone it would sink to a scan of its own.
+    counted = f"(SELECT {own} IF({n} >= 0, {value}, NULL) AS {value}, {n} FROM {{counts}})"
+    return counts.sparkSession.sql(f"""
+WITH coded AS ({ordered_bits(counted, value, f"{own} {value}, {n}")}),
+first_ends AS ({ends("coded", FIRST, f"sum(held) OVER ({partition})", "0L", "")}),
+first AS ({inside("coded", "first_ends", FIRST)}),
+second_ends AS ({ends("first", SECOND, "total", "before", "total, before, ")}),
+second AS ({inside("first", "second_ends", SECOND)})
+SELECT {own} (min({value}) + max({value})) / 2 AS {name}
+FROM (SELECT {own} {value}, {n}, total, before + sum({n}) OVER ({partition} ORDER BY code {running}) AS rank FROM second)
+WHERE {middle.format(r="rank", n=n)} {grouped}""", counts=counts)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from airq.functions.frames import highest_first, with_row
 from airq.functions.measures import n_rows, percent, ratio
-from airq.functions.median import cuts_of, median_of_counts
+from airq.functions.median import median_of_counts
 from airq.operators.overview import mean_by, monthly_mean, status_counts
 from airq.schema import (
     DATE,
@@ -49,8 +49,7 @@ def slice_kpis(df: DataFrame) -> DataFrame:
     """One row: ``readings, mean_aqi, median_aqi, max_aqi, good_pct``.
 
     All figures come from one count per value, so the slice is scanned and
-    shuffled once for the median as well. The totals and the bounds that the median
-    needs are one aggregate, used twice.
+    shuffled once for the median as well.
     """
     good = F.col(STATUS).isin(*GOOD_STATUSES)
     counts = df.groupBy(VALUE).agg(n_rows().alias("n"), F.count_if(good).alias("good"))
@@ -60,12 +59,11 @@ def slice_kpis(df: DataFrame) -> DataFrame:
         ratio(F.sum(F.col(VALUE) * F.col("n")), F.sum(measured)).alias("mean_aqi"),
         F.max(VALUE).alias("max_aqi"),
         percent(F.sum("good"), F.sum("n")).alias("good_pct"),
-        *cuts_of(VALUE, "n"),
     )
     # The condition looks at both counts so that it stays above the aggregation, and
     # the median reuses its shuffle (see ``drop_null_key``).
     present = F.when((F.col("n") >= 0) & (F.col("good") >= 0), F.col(VALUE)).isNotNull()
-    median = median_of_counts(counts.filter(present), VALUE, "n", name="median_aqi", spans=totals)
+    median = median_of_counts(counts.filter(present), VALUE, "n", name="median_aqi")
     return with_row(median, totals).select(
         "readings", "mean_aqi", "median_aqi", "max_aqi", "good_pct"
     )

@@ -163,7 +163,7 @@ def annual_summary(df: DataFrame, years: Sequence[int] = COMPARED_YEARS) -> Data
     return (
         spine(df.sparkSession, YEAR, years)
         .join(by_year, YEAR, "left")
-        .join(medians, YEAR, "left")
+        .join(F.broadcast(medians), YEAR, "left")  # a row per requested year
         .orderBy("position")
         .select(
             YEAR,

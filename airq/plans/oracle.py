@@ -438,4 +438,13 @@ SELECT date, state, area, primary_pollutant, aqi_value, air_quality_status,
 ORDER BY date DESC NULLS LAST, state, area, primary_pollutant NULLS LAST, aqi_value NULLS LAST,
          air_quality_status NULLS LAST, number_of_monitoring_stations LIMIT 500"""),
         "preview_count": _sql("SELECT count(*) AS readings FROM slice", SLICE),
+        "summary_rollup": _sql(" UNION ALL ".join(
+            f"""SELECT '{part}' AS part, CAST({key} AS VARCHAR) AS label, count(*) AS readings, avg(aqi_value) AS mean_aqi,
+       {_pct('count(*)', '(SELECT count(*) FROM readings)')} AS pct
+FROM readings WHERE {key} IS NOT NULL GROUP BY {key}"""
+            for part, key in (("month", "month_start"), ("state", "state"), ("status", "air_quality_status")))),
+        "reproducible_means": _sql(" UNION ALL ".join(
+            f"""SELECT '{part}' AS part, CAST({key} AS VARCHAR) AS label, count(aqi_value) AS measured, avg(aqi_value) AS mean_aqi
+FROM readings WHERE {key} IS NOT NULL GROUP BY {key}"""
+            for part, key in (("month", "month_start"), ("state", "state"), ("area", "area"), ("pollutant", "primary_pollutant")))),
     }

@@ -125,6 +125,22 @@ def _batch(spark: SparkSession, table: str, batch: str, schema: StructType, dead
     return rows.filter(~F.col(SOURCE).isin(dead)) if dead else rows
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, file = _file_system(spark, path)
+    return fs.exists(file)
+
+
+def batches(rows: DataFrame) -> dict[str, list[str]]:
+    """Batches of a manifest with the names of their dead file versions."""
+    return {b: dead for b, (_, dead) in sorted(_dead(rows).items())}
+
+
+def read_batch(spark: SparkSession, table: str, batch: str, version: int | None = None) -> DataFrame:
+    """All rows of a batch, dead ones too, with the column ``SOURCE``."""
+    named = _newest(spark, table)[1] if version is None else _pointer(spark, table, version)
+    return _batch(spark, table, batch, StructType.fromJson(json.loads(named["schema"])))
+
+
 def _dead(rows: DataFrame) -> dict[str, tuple[int, list[str]]]:
     """Live file versions and names of the dead ones, per batch: few by the bounds above."""
     counted = rows.groupBy("batch").agg(

@@ -1,0 +1,133 @@
+"""Exact sums, partial aggregates and what is answered from them."""
+
+from __future__ import annotations
+
+import math
+import random
+from collections import defaultdict
+from fractions import Fraction
+
+import pytest
+from conftest import random_readings
+
+from airq.functions.exact import NAMES, digit_sums, totals_of, with_digits
+from airq.operators import summary
+from airq.sources import snapshots, tables
+from inspect_plans import final_plan
+
+SF = "/root/testdata/sf0.001"
+
+
+def hard_values(rng, n):
+    kinds = [lambda: 0.1, lambda: 1e16, lambda: -1e16, lambda: rng.uniform(-1, 1), lambda: rng.uniform(-1, 1) * 1e300,
+             lambda: rng.random() * 5e-320, lambda: -2.0 ** 80, lambda: float(rng.randint(0, 500)), lambda: rng.gauss(0, 1e9),
+             lambda: 1e-200, lambda: 1048576.0, lambda: -1048575.0, lambda: math.nextafter(2.0 ** (20 * rng.randint(-50, 50)), 0)]
+    return [rng.choice(kinds)() for _ in range(n)]
+
+
+def sums(df):
+    digits = with_digits(df, "v").groupBy("k", "level").agg(*digit_sums())
+    return {r.k: r.total for r in totals_of(digits, ["k"]).collect()}
+
+
+def test_sums_are_bit_equal_over_random_partitionings_and_right(spark):
+    rng = random.Random(4)
+    groups = {"mixed": hard_values(rng, 400), "cancel": [0.1, 1e16, -1e16], "one": [-0.3], "zero": [1e300, -1e300, 0.0],
+              "borrow": [1048576.0, -1048575.0], "tiny": [5e-324] * 3, "large": [1e308, 1e308, -1e308, -1e308, 7.25],
+              "none": [None], "some": [None, 2.5], "below": [-(2.0 ** 100), 2.0 ** 100 - 2.0 ** 47, 2.0 ** 47, -0.1]}
+    rows = [(k, v) for k, values in groups.items() for v in values]
+    seen = set()
+    for seed in range(20):
+        random.Random(seed).shuffle(rows)
+        df = spark.createDataFrame(rows, "k string, v double").repartition(rng.randint(1, 9))
+        seen.add(tuple(sorted((k, None if t is None else t.hex()) for k, t in sums(df).items())))
+    assert len(seen) == 1
+    got = sums(df)
+    for k, values in groups.items():
+        known = [Fraction(v) for v in values if v is not None]
+        if not known:
+            assert got[k] is None
+            continue
+        want = float(sum(known))
+        assert got[k] == want or abs(got[k] - want) <= 2 * math.ulp(want), k
+    assert got["cancel"] == 0.1 and got["zero"] == 0 and got["borrow"] == 1 and got["tiny"] == 1.5e-323 and got["below"] == -0.1
+
+
+def test_digits_put_every_double_together_again(spark):
+    rng = random.Random(9)
+    values = [v for v in hard_values(rng, 1500) if v]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for r in with_digits(df, "v").collect():
+        assert sum(Fraction(r[n]) * Fraction(2) ** (20 * (r.level - i)) for i, n in enumerate(NAMES)) == Fraction(r.v)
+        assert all(abs(r[n]) <= 2 ** 21 for n in NAMES)
+
+
+def test_whole_numbers_share_one_level(spark, sample_df):
+    assert [r.level for r in with_digits(sample_df.filter("aqi_value IS NOT NULL"), "aqi_value").select("level").distinct().collect()] == [1]
+
+
+def brute(rows):
+    parts = {"month": lambda r: str(r["date"].replace(day=1)) if r["date"] else None,
+             "state": lambda r: r["state"], "status": lambda r: r["air_quality_status"]}
+    out = []
+    for part, key in parts.items():
+        groups = defaultdict(list)
+        for r in rows:
+            groups[key(r)].append(r["aqi_value"])
+        for label, values in groups.items():
+            if label is not None:
+                known = [v for v in values if v is not None]
+                out.append((part, label, len(values), sum(known) / len(known) if known else None, len(values) / len(rows) * 100))
+    return sorted(out, key=str)
+
+
+def test_report_from_merged_parts_equals_the_direct_one(spark, frame, sample, tmp_path):
+    cut = [0, 10, 700, len(sample)]
+    made = [summary.partial_sums(frame(sample[a:b])) for a, b in zip(cut, cut[1:])]
+    got = summary.summary_report(summary.merge_sums(*made))
+    assert got.columns == ["part", "label", "readings", "mean_aqi", "pct"]
+    assert sorted(map(tuple, got.collect()), key=str) == brute(sample)
+    assert summary.summary_report(made[0].limit(0)).collect() == []
+
+
+def test_report_reads_no_readings(spark, frame, sample, tmp_path):
+    path = str(tmp_path / "sums")
+    summary.partial_sums(frame(sample)).write.parquet(path)
+    plan = final_plan(summary.summary_report(spark.read.parquet(path)))
+    scans = [line for line in plan if line.startswith("FileScan")]
+    assert scans and all("sums" in line for line in scans)
+    text = "\n".join(plan)
+    assert "CartesianProduct" not in text and "NestedLoop" not in text and "SortAggregate" not in text
+
+
+def test_means_are_the_same_however_readings_are_dealt(spark, frame):
+    rng, rows = random.Random(6), random_readings(300)
+    for r, v in zip(rows, hard_values(rng, 300)):
+        r["aqi_value"] = None if r["aqi_value"] is None else v
+    seen = set()
+    for _ in range(5):
+        rng.shuffle(rows)
+        got = summary.reproducible_means(frame(rows).repartition(rng.randint(1, 8))).collect()
+        seen.add(tuple(sorted((r.part, r.label, r.measured, r.mean_aqi and r.mean_aqi.hex()) for r in got)))
+    assert len(seen) == 1 and len(next(iter(seen))) > 20
+
+
+def test_sums_of_a_snapshot_follow_its_files(spark, tmp_path, monkeypatch):
+    tables.deliver(spark, SF, str(tmp_path))
+    table = str(tmp_path / "table")
+    summary.snapshot_sums(spark, table, 1).collect()
+    read = []
+    plain = snapshots.read_batch
+    monkeypatch.setattr(snapshots, "read_batch", lambda spark, table, batch, version=None: (read.append(batch), plain(spark, table, batch, version))[1])
+    for version in (2, 1, 2):
+        got = summary.summary_report(summary.snapshot_sums(spark, table, version))
+        want = summary.summary_report(summary.partial_sums(snapshots.load_snapshot(spark, table, version)))
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    # Batches of the first version are not read again.
+    assert len(read) == len(set(read)) and all(b.startswith("00000002") for b in read)
+
+
+@pytest.mark.parametrize("rows", [[], [None]])
+def test_nothing_to_sum(spark, frame, sample, rows):
+    df = frame([{**sample[0], "aqi_value": None, "state": None, "date": None, "air_quality_status": None}] if rows else [])
+    assert summary.summary_report(summary.partial_sums(df)).collect() == []
