@@ -2,12 +2,15 @@
 
 A shard is one file with this layout, all numbers little-endian:
 
-    magic "TOKS1\\0", bytes per id (u16), documents n (u64), ids m (u64), index bytes (u64)
     ids        m unsigned integers of 2 or 4 bytes
-    doc_ids    n signed 64-bit, ascending
+    doc_ids    n signed 64-bit, ascending; those of documents without one, the last, stand for nothing
     offsets    n + 1 unsigned 64-bit, in ids
     index      perfect hash over the distinct doc_ids, with a 32-bit fingerprint
                and the first position of every key
+    magic "TOKS2\\0", bytes per id (u16), documents n (u64), ids m (u64), index bytes (u64),
+    documents without a doc_id (u64)
+
+What depends on all ids comes behind them, so a shard is written in one go.
 
 A key is found in constant time: the hash gives its place, the fingerprint and the
 stored id tell whether it is there, the offsets where its ids lie. Shards hold
@@ -39,16 +42,14 @@ from airq.llm.peeling import PerfectHash, Shape, build_perfect_hash
 from airq.llm.rolling import mix, run_starts
 from airq.llm.shared import NO_ID, need, packed, partitions, shared_folder, text_or_empty, unpacked, written
 
-MAGIC, HEAD = b"TOKS1\0", "<6sHQQQ"
-#: Words whose ids a worker remembers, about 200 bytes each.
+MAGIC, FOOT = b"TOKS2\0", "<6sHQQQQ"
+#: Words whose ids a worker remembers, about 200 bytes each; the half not used of late makes room.
 REMEMBERED = 600_000
+#: Punctuation that is looked up apart from the word before it.
+MARKS = b".,;:!?#$%&*|"
 MANIFEST = "shard int, path string, n_docs long, n_ids long, first_id long, last_id long"
 
 
-def _letters(word: bytes) -> bool:
-    return word.isalpha() if word.isascii() else word.decode("utf-8", "surrogatepass").isalpha()
-
-
 class Encoder:
     """Ids of texts as packed integers.
 
@@ -66,16 +67,42 @@ class Encoder:
         self.dtype = np.dtype("<u2" if top < 1 << 16 else "<u4")
         self.end = b"" if end_id is None else np.array([end_id], dtype=self.dtype).tobytes()
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.letters: dict[str, bool] = {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.last = np.zeros(top + 1, dtype=bool)  # ids that end a word
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.by_words = not whole and self.splits()
+        low = "abcdefghijklmnopqrstuvwxyz"
+        self.folds = self._ids(low.upper()) == self._ids(low) and all(self._ids(c.upper()) == self._ids(c) for c in low)
 
     def splits(self) -> bool:
         probe = ["a", "b'", "s", "1", "2.", "É"]
         one = self.tokenizer.encode(" \t\n\r\v\f".join(probe), add_special_tokens=False).ids
         return one == [i for w in probe for i in self.tokenizer.encode(w, add_special_tokens=False).ids]
 
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _apart(self, char: str) -> bool:
+        """Whether ids of a letter and of any mark behind it are those of the two alone.
+
+        Tried on the file, once per character: a letter may be normalised to one with an
+        accent of its own, which then belongs to the mark.
+        """
+        if char not in self.letters:
+            marks = MARKS.decode()
+            self.letters[char] = char.isalpha() and all(
+                self._ids(char + m) == self._ids(char) + self._ids(m) for m in [*marks, marks, marks[::-1]])
+        return self.letters[char]
+
+    def _plain(self, word: bytes) -> bool:
+        """Whether a word consists of such letters."""
+        if word.isascii() and not word.isalpha():
+            return False
+        text = word.decode("utf-8", "surrogatepass")
+        return text.isalpha() and all(map(self._apart, set(text)))
+
     def _encoded(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in found]
@@ -97,21 +124,28 @@ class Encoder:
     def _learn(self, words: list[bytes]) -> None:
         """Ids of new words. Letters and the punctuation behind them are looked up apart, ASCII in lower case."""
         parts, new = [], {}
-        known = self.known
+        known, older = self.known, self.older
         for w in words:
-            text = w.lower() if w.isascii() else w
-            core = text.rstrip(b".,;:!?#$%&*|")
-            pair = (core, text[len(core):]) if _letters(core) else (w, b"")
-            parts.append(pair)
+            if w in older:
+                known[w] = older[w]
+                continue
+            text = w.lower() if self.folds and w.isascii() else w
+            core = text.rstrip(MARKS)
+            plain = core != b"" and self._plain(core)
+            pair = (core, text[len(core):]) if plain else (w, b"")
+            parts.append((w, pair))
             for p in pair:
                 if p not in known:
-                    new[p] = None
+                    if p in older:
+                        known[p] = older[p]
+                    else:
+                        new[p] = plain and p == core
         new.pop(b"", None)
-        plain = [p for p in new if _letters(p)]
-        other = [p for p in new if not _letters(p)]
+        plain = [p for p, letters in new.items() if letters]
+        other = [p for p, letters in new.items() if not letters]
         known.update(zip(plain, self._encoded_letters(plain)))
         known.update(zip(other, self._encoded([p.decode("utf-8", "surrogatepass") for p in other])))
-        for w, (core, rest) in zip(words, parts):
+        for w, (core, rest) in parts:
             known[w] = known[core] + known[rest] if core and rest else known[core or rest]
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -121,8 +155,8 @@ class Encoder:
         for at in range(0, len(texts), 256):
             split = [t.encode("utf-8", "surrogatepass").split() for t in texts[at:at + 256]]
             new = set().union(*split).difference(self.known)
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known, new = {}, set().union(*split)
+            if 2 * (len(self.known) + len(new)) > REMEMBERED:
+                self.known, self.older, new = {}, self.known, set().union(*split)
             self._learn(sorted(new))
             get = self.known.__getitem__
             out += [b"".join(map(get, words)) + self.end for words in split]
@@ -159,6 +193,7 @@ class Shard(NamedTuple):
     table: PerfectHash
     prints: np.ndarray
     firsts: np.ndarray
+    nameless: int  # documents at the end that have no id
 
     def find(self, doc_ids: np.ndarray) -> np.ndarray:
         """First position of each id, -1 for those the shard does not have."""
@@ -178,68 +213,61 @@ def read_shard(path: str) -> Shard:
     fs, name = _filesystem(path)
     with fs.open_input_stream(name, compression=None) as file:
         data = file.read()
-    magic, width, n, m, size = struct.unpack_from(HEAD, data)
-    if magic != MAGIC:
+    if len(data) < struct.calcsize(FOOT) or not data[-struct.calcsize(FOOT):].startswith(MAGIC):
         raise ValueError(f"{path} is not a token shard")
-    at = struct.calcsize(HEAD)
-    ids = np.frombuffer(data, f"<u{width}", m, at)
-    at += m * width
+    _, width, n, m, size, nameless = struct.unpack_from(FOOT, data, len(data) - struct.calcsize(FOOT))
+    ids = np.frombuffer(data, f"<u{width}", m)
+    at = m * width
     doc_ids = np.frombuffer(data, "<i8", n, at)
     offsets = np.frombuffer(data, "<u8", n + 1, at + 8 * n).astype(np.int64)
     at += 8 * (2 * n + 1)
     shape, choice, ranks, prints, firsts = unpacked(data[at:at + size])
-    return Shard(ids, doc_ids, offsets, PerfectHash(Shape(*shape), choice, ranks), prints, firsts)
+    return Shard(ids, doc_ids, offsets, PerfectHash(Shape(*shape), choice, ranks), prints, firsts, nameless)
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int | None = 2, shards: int | None = None) -> DataFrame:
     """Write the ids of every text of ``docs`` and return the manifest, in order of doc_id.
 
-    A null text is empty and still gets the end id; a null doc_id is written as the
-    largest long and sorts last. Rows repeated with one id lie side by side in order of
+    A null text is empty and still gets the end id; a null doc_id sorts last. Rows repeated with one id lie side by side in order of
     their text's hash. An empty table gives an empty manifest. A range of ids is
     streamed through one task; only its ids' offsets and index stay in memory.
     """
     need(docs, "doc_id", "text")
     folder = shared_folder(docs.sparkSession)
     ordered = (
-        docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text_or_empty().alias("text"))
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
         .withColumn("tie", F.xxhash64("text"))
-        .repartitionByRange(shards or 2 * partitions(docs.sparkSession), "doc_id", "tie")
-        .sortWithinPartitions("doc_id", "tie")
+        .repartitionByRange(shards or 2 * partitions(docs.sparkSession), F.col("doc_id").asc_nulls_last(), "tie")
+        .sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "tie")
     )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer, end_id)
         fs, root = _filesystem(folder)
-        doc_ids, sizes, file, path, spool = [], [], None, None, None
+        doc_ids, sizes, file, path, nameless = [], [], None, None, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             if file is None:
                 fs.create_dir(root, recursive=True)
                 path = f"shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
-                spool = fs.open_output_stream(f"{root}/{path}.ids", compression=None)
-                file = spool
+                file = fs.open_output_stream(f"{root}/{path}.bin", compression=None)
             encoded = encoder.encode(batch.column("text").to_pylist())
             for piece in encoded:
                 file.write(piece)
             sizes.append(np.array([len(e) for e in encoded], dtype=np.int64) // encoder.dtype.itemsize)
-            doc_ids.append(batch.column("doc_id").to_numpy())
+            nameless += batch.column("doc_id").null_count
+            doc_ids.append(batch.column("doc_id").fill_null(NO_ID).to_numpy())
         if file is None:
             return
-        file.close()
         doc_ids, sizes = np.concatenate(doc_ids), np.concatenate(sizes)
         offsets = np.concatenate([[0], np.cumsum(sizes)]).astype("<u8")
         index = _index(doc_ids)
-        with fs.open_output_stream(f"{root}/{path}.bin", compression=None) as out:
-            out.write(struct.pack(HEAD, MAGIC, encoder.dtype.itemsize, len(doc_ids), int(offsets[-1]), len(index)))
-            with fs.open_input_stream(f"{root}/{path}.ids", compression=None) as ids:
-                while piece := ids.read(1 << 22):
-                    out.write(piece)
-            out.write(doc_ids.astype("<i8").tobytes())
-            out.write(offsets.tobytes())
-            out.write(index)
-        fs.delete_file(f"{root}/{path}.ids")
+        with file:
+            file.write(doc_ids.astype("<i8").tobytes())
+            file.write(offsets.tobytes())
+            file.write(index)
+            file.write(struct.pack(FOOT, MAGIC, encoder.dtype.itemsize, len(doc_ids), int(offsets[-1]), len(index), nameless))
         yield pa.record_batch({
             "shard": pa.array([TaskContext.get().partitionId()], pa.int32()), "path": [f"{folder}/{path}.bin"],
             "n_docs": [len(doc_ids)], "n_ids": [int(offsets[-1])], "first_id": [int(doc_ids[0])], "last_id": [int(doc_ids[-1])]})
@@ -271,7 +299,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(shard.ids[a:b].astype("<u4").tobytes()) for a, b in zip(start.tolist(), stop.tolist())]
                 ids = shard.doc_ids
                 yield pa.record_batch({
-                    "doc_id": pa.array(ids, mask=ids == NO_ID), "start": pa.array(start + base),
+                    "doc_id": pa.array(ids, mask=np.arange(len(ids)) >= len(ids) - shard.nameless), "start": pa.array(start + base),
                     "n_tokens": pa.array(stop - start), "ids_crc32": pa.array(crc, pa.int64())})
 
     return placed.repartition(2 * partitions(spark), "path").mapInArrow(

@@ -168,3 +168,34 @@ def test_url_filter_has_no_python(spark):
     pages = spark.createDataFrame([(1, "http://a.com/")], "page_id long, url string")
     plan = urls.url_filter(pages, urls.rule_table(spark, queries.URL_RULES))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_ids_of_every_letter_with_every_mark_are_those_of_the_whole_text():
+    """All letters of Unicode, each before each mark that is looked up apart."""
+    path = queries.tokenizer_path()
+    letters = [chr(c) for c in range(0x110000) if chr(c).isalpha()]
+    rare = [c for c in letters if not 0x3400 <= ord(c) < 0x323B0 or ord(c) % 97 == 0]  # ideographs and syllables: some
+    texts = [" ".join(c + m for c in rare[at:at + 500]) for m in tokens.MARKS.decode() for at in range(0, len(rare), 500)]
+    got = tokens.Encoder(path, 2).encode(texts)
+    assert got == tokens.Encoder(path, 2, whole=True).encode(texts)
+    odd = ["\u0130& \u0130stanbul. \u0958, x\u0958?! ABC.DEF Zz;; \u1e9e: <|endoftext|>. a<|endoftext|>,"]
+    assert tokens.Encoder(path, 2).encode(odd) == tokens.Encoder(path, 2, whole=True).encode(odd)
+
+
+def test_the_largest_id_and_no_id_are_told_apart(spark):
+    top = 2 ** 63 - 1
+    rows = spark.createDataFrame([(top, "a b"), (None, "c"), (3, "d"), (None, None), (top, "a b")], "doc_id long, text string")
+    for shards in (1, 3):
+        got = tokens.read_tokens(tokens.write_tokens(rows, queries.tokenizer_path(), 2, shards)).orderBy("start").collect()
+        assert [r.doc_id for r in got] == [3, top, top, None, None] and [r.n_tokens for r in got][:3] == [2, 3, 3]
+
+
+def test_a_vocabulary_that_keeps_case_is_not_folded(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    words = ["a", "b", ".", "A", "ab", "Ab", "ab."]
+    t = Tokenizer(models.WordLevel({w: i for i, w in enumerate(["?"] + words)}, unk_token="?"))
+    t.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    t.save(str(tmp_path / "t.json"))
+    texts = ["Ab ab A a ab. Ab. b.", "AB aB"]
+    assert tokens.Encoder(str(tmp_path / "t.json"), None).encode(texts) == tokens.Encoder(str(tmp_path / "t.json"), None, whole=True).encode(texts)
