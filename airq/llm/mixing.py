@@ -4,19 +4,19 @@ A classifier that is fitted to the labelled documents gives every document a cha
 for each domain. Its tokens count for the domains in these shares. Document rates are then
 sought that are not negative and make the expected tokens of each domain equal its
 target: a least-squares problem, solved by projected gradients. A step moves each
-document's rate along its own shares, then cuts it at zero; only domain totals and
+document's rate along its own shares, then cuts it at the least rate allowed; only domain totals and
 their curvature, a few numbers, are gathered per step, and a document's rate follows from
 the list of steps, so nothing is written between them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from airq.llm.lexer import distinct_words, lexed
@@ -95,16 +95,21 @@ def fit_domains(labelled: DataFrame) -> Domains:
     return Domains([f[0] for f in found], np.log(counts / counts.sum(axis=0)), np.log(docs / docs.sum()))
 
 
+def _shares(texts: pa.Array, domains: Domains) -> Iterator[np.ndarray]:
+    """Chance of every domain for each text, some texts at a time."""
+    for piece in lexed(texts):
+        doc, word, _ = distinct_words(piece)
+        yield domains.shares(doc, _features(word), len(piece.rows))
+
+
 def memberships(docs: DataFrame, domains: Domains) -> DataFrame:
     """``row, n_tokens, shares`` for every row of ``docs``; tokens are words."""
     n_domains = len(domains.names)
 
     def judge(batches):
         for batch in batches:
-            shares, sizes = [np.zeros((0, n_domains))], [np.zeros(0, dtype=np.int64)]
+            shares, sizes = [np.zeros((0, n_domains)), *_shares(batch.column("text"), domains)], [np.zeros(0, dtype=np.int64)]
             for piece in lexed(batch.column("text")):
-                doc, word, _ = distinct_words(piece)
-                shares.append(domains.shares(doc, _features(word), len(piece.rows)))
                 sizes.append(np.bincount(piece.doc, minlength=len(piece.rows)))
             yield pa.RecordBatch.from_arrays([
                 batch.column("row"), pa.array(np.concatenate(sizes)),
@@ -114,11 +119,11 @@ def memberships(docs: DataFrame, domains: Domains) -> DataFrame:
     return rows.mapInArrow(judge, "row long, n_tokens long, shares array<double>")
 
 
-def rates_of(shares: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
-    """Rates after ``steps`` from one: each is taken along the shares and cut at zero."""
+def rates_of(shares: np.ndarray, steps: list[np.ndarray], least: float = 0.0) -> np.ndarray:
+    """Rates after ``steps`` from one: each is taken along the shares and cut at ``least``."""
     rate = np.ones(len(shares))
     for step in steps:
-        rate = np.maximum(0.0, rate + shares @ step)
+        rate = np.maximum(least, rate + shares @ step)
     return rate
 
 
@@ -126,15 +131,19 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.array(column.flatten()).reshape(-1, width) if len(column) else np.zeros((0, width))
 
 
-def _totals(members: DataFrame, steps: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Expected tokens of every domain, and their change by a step, at the rates after ``steps``."""
+def _totals(members: DataFrame, steps: list[np.ndarray], k: int, least: float, way: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Expected tokens of every domain at the rates after ``steps``, and their change by a further step.
+
+    Documents at the least rate count for the change only if the direction ``way`` raises them.
+    """
     def add(batches):
         total, curve = np.zeros(k), np.zeros((k, k))
         for batch in batches:
             shares, tokens = _matrix(batch.column("shares"), k), batch.column("n_tokens").to_numpy()
-            rate = rates_of(shares, steps)
+            rate = rates_of(shares, steps, least)
             total += (rate * tokens) @ shares
-            curve += (shares * (tokens * (rate > 0))[:, None]).T @ shares
+            free = (rate > least) | (shares @ way > 0)
+            curve += (shares * (tokens * free)[:, None]).T @ shares
         yield pa.record_batch({"key": pa.array(range(k + k * k), pa.int32()), "value": [*total, *curve.ravel()]})
 
     sums = members.select("n_tokens", "shares").mapInArrow(add, "key int, value double").groupBy("key").agg(F.sum("value").alias("value"))
@@ -144,36 +153,54 @@ def _totals(members: DataFrame, steps: list[np.ndarray], k: int) -> tuple[np.nda
     return found[:k], found[k:].reshape(k, k)
 
 
-def fit_rates(members: DataFrame, names: list[str], weights: Mapping[str, float], total: float | None = None) -> list[np.ndarray]:
-    """Steps whose rates bring every domain to its part of ``total`` tokens.
+class Fit(NamedTuple):
+    """Steps that lead to the rates, and the least rate."""
+
+    steps: list[np.ndarray]
+    least: float
+
 
-    Without ``total``, the least total is taken for which no domain has to shrink.
-    Domains without a weight get the target zero; a domain that no document belongs to
-    cannot be reached and is left out.
+def fit_rates(members: DataFrame, names: list[str], weights: Mapping[str, float], total: float | None = None) -> Fit:
+    """Steps whose rates bring every domain with a weight to its part of ``total`` tokens.
+
+    Without ``total``, no document's rate is below one, and the total is the least that this allows: it rises
+    while documents of other domains add to a domain that already has its part. With ``total``, rates may fall to
+    zero. A domain that ``weights`` does not name is not mixed: its tokens have no target, and no step moves
+    along it. A weight of zero asks for none of a domain (without ``total`` that cannot be met). A domain
+    that no document belongs to cannot be reached and is left out. ``ValueError`` when the targets
+    are not met after ``STEPS`` steps.
     """
     k = len(names)
+    least = 1.0 if total is None else 0.0
     if not k:
-        return []
-    have, _ = _totals(members, [], k)
-    weight = np.array([max(0.0, float(weights.get(n, 0.0))) for n in names]) * (have > 0)
-    if not weight.sum() or not have.sum():
-        return []
+        return Fit([], least)
+    have, _ = _totals(members, [], k, least, np.zeros(k))
+    mixed = np.array([n in weights for n in names]) & (have > 0)
+    weight = np.array([max(0.0, float(weights.get(n, 0.0))) for n in names]) * mixed
+    if not weight.sum():
+        return Fit([], least)
+    if total is None and (weight[mixed] == 0).any():
+        raise ValueError("a weight of zero needs a total: without one no document is dropped")
     weight = weight / weight.sum()
-    if total is None:
-        total = float((have[weight > 0] / weight[weight > 0]).max())
-    target, steps, scale = weight * total, [], 1.0
-    last = np.inf
-    for _ in range(STEPS):
-        now, curve = _totals(members, steps, k)
-        error = np.abs(now - target).max() / total
+    steps, scale, last = [], 1.0, np.inf
+    goal = 0.0 if total is None else float(total)
+    way = np.where(mixed, weight - have / have.sum(), 0.0)
+    for _ in range(STEPS + 1):
+        now, curve = _totals(members, steps, k, least, way)
+        if total is None:
+            goal = max(goal, float((now[weight > 0] / weight[weight > 0]).max()))
+        left = np.where(mixed, weight * goal - now, 0.0)
+        error = np.abs(left).max() / goal
         if error < ERROR:
-            break
-        if error > last:  # the cut at zero made the step too long
-            scale /= 2
+            return Fit(steps, least)
+        # The cut can make a step too long; after a good one the next may be longer again.
+        scale = scale / 2 if error > last else min(1.0, 1.5 * scale)
         last = error
         # The gradient in the metric of the curvature; the ridge bounds steps along unseen directions.
-        steps.append(scale * np.linalg.solve(curve + 1e-9 * total * np.eye(k), target - now))
-    return steps
+        way = np.zeros(k)
+        way[mixed] = scale * np.linalg.solve(curve[np.ix_(mixed, mixed)] + 1e-9 * goal * np.eye(int(mixed.sum())), left[mixed])
+        steps.append(way)
+    raise ValueError(f"the targets are not met: after {STEPS} steps a domain is off by {error:.2g} of the total")
 
 
 def mixture(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float], domain: str = "lang", total: float | None = None) -> DataFrame:
@@ -181,15 +208,34 @@ def mixture(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float], do
 
     ``labels`` names the documents (by doc_id) whose column ``domain`` is trusted; the classifier is
     fitted to at most ``LABELLED`` of these. ``copies`` is the rate rounded up or down by a hash of the id, so
-    that its expectation is the rate. Null texts have no tokens and the prior as
+    that its expectation is the rate; what it means for targets and totals is told in ``fit_rates``. Null texts have no tokens and the prior as
     shares; a null domain is not used. Repeated rows are rows of their own. Without
     labelled documents, or without a weight for any domain, every rate is one.
     """
-    domains, members, steps = _fitted(docs, labels, weights, domain, total)
-    return _rated(members, steps, len(domains.names)).select(F.col("row").alias("doc_id"), "n_tokens", "shares", "rate", "copies")
+    domains, members, fit = _fitted(docs, labels, weights, domain, total)
+    k = len(domains.names)
+
+    def rate(batches):
+        for batch in batches:
+            own = rates_of(_matrix(batch.column("shares"), k), fit.steps, fit.least) if k else np.ones(batch.num_rows)
+            yield batch.append_column("rate", pa.array(own)).append_column("copies", _copies(own, batch.column("chance")))
+
+    rated = members.withColumn("chance", _chance("row")).mapInArrow(
+        rate, "row long, n_tokens long, shares array<double>, chance double, rate double, copies int")
+    return rated.select(F.col("row").alias("doc_id"), "n_tokens", "shares", "rate", "copies")
+
 
+def _chance(name: str) -> Column:
+    """A number from 0 up to 1 that a row's id decides."""
+    return F.pmod(F.xxhash64(F.col(f"`{name}`").cast("long"), F.lit(9)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
-def _fitted(docs, labels, weights, domain, total):
+
+def _copies(rate: np.ndarray, chance: pa.Array) -> pa.Array:
+    # A thousandth is added so that a rate of one that is a rounding error short stays one.
+    return pa.array(np.floor(rate + np.maximum(chance.to_numpy(zero_copy_only=False), 1e-3)).astype(np.int32))
+
+
+def _fitted(docs, labels, weights, domain, total) -> tuple[Domains, DataFrame, Fit]:
     need(docs, "doc_id", "text", domain)
     need(labels, "doc_id")
     ids = labels.select(F.col("doc_id").cast("long").alias("labelled")).filter("labelled IS NOT NULL").distinct()
@@ -201,26 +247,23 @@ def _fitted(docs, labels, weights, domain, total):
     return domains, members, fit_rates(members, domains.names, weights, total)
 
 
-def _rated(members: DataFrame, steps: list[np.ndarray], k: int) -> DataFrame:
-    def rate(batches):
-        for batch in batches:
-            own = rates_of(_matrix(batch.column("shares"), k), steps) if k else np.ones(batch.num_rows)
-            yield batch.append_column("rate", pa.array(own))
-
-    rated = members.mapInArrow(rate, "row long, n_tokens long, shares array<double>, rate double")
-    chance = F.pmod(F.xxhash64("row", F.lit(9)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    # A thousandth is added so that a rate of one that is a rounding error short stays one.
-    return rated.withColumn("copies", F.floor(F.col("rate") + F.greatest(chance, F.lit(1e-3))).cast("int"))
-
-
 def mixed(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float], domain: str = "lang", total: float | None = None) -> DataFrame:
     """``docs`` with every row as often as its copies say; columns are those of ``docs``.
 
-    Rows with one doc_id are mixed alike, by the first of their rates.
+    Copies are those of ``mixture``. They are made in the task that reads the row; rows do not move.
     """
-    domains, members, steps = _fitted(docs, labels, weights, domain, total)
-    name, times = free_name(docs, "mixed_id"), free_name(docs, "mixed_copies")
-    copies = _rated(members, steps, len(domains.names)).groupBy(F.col("row").alias(name)).agg(F.min("copies").alias(times))
-    joined = docs.join(copies, F.col("doc_id").cast("long").eqNullSafe(F.col(name)))
-    again = F.explode(F.sequence(F.lit(1), F.col(f"`{times}`"))).alias(free_name(docs, "mixed_at"))
-    return joined.filter(F.col(f"`{times}`") > 0).select(*[docs[f"`{c}`"] for c in docs.columns], again).select(*[F.col(f"`{c}`") for c in docs.columns])
+    domains, _, fit = _fitted(docs, labels, weights, domain, total)
+    k, name, columns = len(domains.names), free_name(docs, "mixed_chance"), docs.columns
+
+    def repeat(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):  # a row may come back many times
+                part = batch.slice(at, 256)
+                shares = np.concatenate([np.zeros((0, k)), *_shares(part.column("text"), domains)]) if k else None
+                own = rates_of(shares, fit.steps, fit.least) if k else np.ones(part.num_rows)
+                copies = _copies(own, part.column(name)).to_numpy()
+                rows = np.repeat(np.arange(part.num_rows), copies)
+                for first in range(0, len(rows), 1024):
+                    yield part.take(pa.array(rows[first:first + 1024])).select(columns)
+
+    return docs.withColumn(name, _chance("doc_id")).mapInArrow(repeat, docs.schema)

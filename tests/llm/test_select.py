@@ -9,6 +9,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from airq.llm import decontam, lexer, mixing, quality, queries
@@ -95,7 +96,7 @@ def test_mixture_meets_its_targets(spark):
     total = (rate * tokens) @ shares
     names = sorted(queries.DOMAIN_WEIGHTS)
     assert np.allclose(total / total.sum(), [queries.DOMAIN_WEIGHTS[n] for n in names], atol=1e-4)
-    assert rate.min() > 0.99 and np.allclose(shares.sum(axis=1), 1)
+    assert rate.min() >= 1 and min(x.copies for x in r) >= 1 and np.allclose(shares.sum(axis=1), 1)
     copies = np.array([x.copies for x in r])
     assert np.all(np.abs(copies - rate) <= 1) and abs(copies.sum() - rate.sum()) < 4 * np.sqrt(len(r))
 
@@ -116,7 +117,8 @@ def test_rates_stay_nonnegative_and_match_a_plain_solver(spark):
         [(i, int(t), s.tolist()) for i, (t, s) in enumerate(zip(tokens, shares))], "row long, n_tokens long, shares array<double>")
     weights = {"a": 0.9, "b": 0.08, "c": 0.02}
     total = float(tokens.sum())
-    rate = mixing.rates_of(shares, mixing.fit_rates(members, ["a", "b", "c"], weights, total))
+    fit = mixing.fit_rates(members, ["a", "b", "c"], weights, total)
+    rate = mixing.rates_of(shares, fit.steps, fit.least)
     assert rate.min() == 0
     plain = np.ones(300)  # plain projected gradient, many small steps
     target = np.array([0.9, 0.08, 0.02]) * total
@@ -125,6 +127,38 @@ def test_rates_stay_nonnegative_and_match_a_plain_solver(spark):
     assert np.allclose((rate * tokens) @ shares, (plain * tokens) @ shares, rtol=2e-3, atol=1e-3 * total)
 
 
+def two_domains(spark, per=40):
+    """Documents of two languages that share no word, and of a third one, all labelled."""
+    rng = np.random.default_rng(3)
+    rows = [(i * 3 + k, " ".join(f"{lang}{w}" for w in rng.integers(0, 50, 30)), lang)
+            for k, lang in enumerate(("en", "fr", "xx")) for i in range(per)]
+    docs = spark.createDataFrame([*rows, (None, "en1 en2", "en"), (None, None, None), (None, "xx1", "xx")], "doc_id long, text string, lang string")
+    return docs, docs.filter("doc_id IS NOT NULL").select("doc_id")
+
+
+def test_documents_of_a_domain_without_a_weight_stay(spark):
+    docs, labels = two_domains(spark)
+    out = mixing.mixed(docs.selectExpr("*", "'x' AS mixed_chance"), labels, {"en": 0.8, "fr": 0.2})
+    assert out.columns == ["doc_id", "text", "lang", "mixed_chance"]
+    counts = {r.lang: (r.n, r.ids) for r in out.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("ids")).collect()}
+    assert counts["xx"] == (41, 40) and counts["fr"][1] == 40 and counts["en"][1] == 40 and counts["en"][0] > 120
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    copies = sorted((r.doc_id or -1, r.copies) for r in mixing.mixture(docs, labels, {"en": 0.8, "fr": 0.2}).collect())
+    assert sum(c for _, c in copies) == out.count() and min(c for _, c in copies) >= 1
+
+
+def test_targets_that_cannot_be_met_are_an_error(spark):
+    docs, labels = two_domains(spark)
+    with pytest.raises(ValueError, match="weight of zero"):
+        mixing.mixture(docs, labels, {"en": 1.0, "fr": 0.0})
+    gone = mixing.mixture(docs, labels, {"en": 1.0, "fr": 0.0}, total=500.0).join(docs.select("doc_id", "lang"), "doc_id")
+    assert {r.lang for r in gone.filter("copies = 0").collect()} >= {"fr"}
+    # Two domains of the same documents cannot have different parts.
+    same = spark.createDataFrame([(i, "a b c", "en" if i % 2 else "fr") for i in range(40)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="not met"):
+        mixing.mixture(same, same.select("doc_id"), {"en": 0.9, "fr": 0.1})
+
+
 def test_mixing_on_awkward_rows(spark, docs, empty):
     labels = spark.createDataFrame([(4,), (None,), (7,), (10 ** 9,)], "doc_id long")
     odd = nasty(spark, docs)
