@@ -119,6 +119,15 @@ def _ordered(table: pa.Table) -> tuple[np.ndarray, list[bytes]]:
     return ids[order], [bodies[i] for i in order]
 
 
+def _nameless(table: pa.Table, ids: np.ndarray) -> np.ndarray:
+    """Which of the ordered ids stand for none. Rows that share the largest id are in order of their texts."""
+    top = ids == NO_ID
+    if top.any():
+        rows = zip(table["doc_id"].to_pylist(), table["text"].to_pylist(), table["no_id"].to_pylist())
+        top[top] = [flag for _, flag in sorted((t.encode("utf-8", "surrogatepass"), flag) for i, t, flag in rows if i == NO_ID)]
+    return top
+
+
 def _minimisers(table: pa.Table, units: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct minimisers of a part, their super-k-mers, and whether two ids have one."""
     ids, bodies = _ordered(table)
@@ -267,10 +276,10 @@ def remove_repeats(
     """``doc_id`` and what ``finish`` makes of each text and its mask of units to remove.
 
     A unit goes when a window that covers it also starts in a document with a
-    smaller doc_id. A null text is empty. Null ids sort last and are one id; rows
-    repeated with one id do not remove each other's text. ``parts`` is how many
-    parts the corpus is dealt into; a part's text is in one task's memory, so size it to
-    some tens of MB (by default twice the session's shuffle partitions).
+    smaller doc_id. A null text is empty. Null ids sort last and count as one id, that of the
+    largest long; rows with one id do not remove each other's text. ``parts`` is how many
+    parts the corpus is dealt into; a part's text is in one task's memory, so it follows the bytes of
+    text (``PART_BYTES`` each) by default. A single text is never cut and takes some 50 times its bytes there.
     """
     need(docs, "doc_id", "text")
     parts = parts or -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 1) // PART_BYTES)
@@ -355,18 +364,17 @@ def remove_repeats(
             gone = covered_units(n_units, *own, units.width) if own else np.zeros(n_units, dtype=bool)
             made.append(finish(body, gone))
         columns = [pa.array(c, f.type) for c, f in zip(zip(*made), list(out_schema)[1:])]
-        return pa.Table.from_arrays([pa.array(ids), *columns], schema=out_schema)
+        return pa.Table.from_arrays([pa.array(ids, mask=_nameless(table, ids)), *columns], schema=out_schema)
 
     out_type = StructType.fromDDL(f"doc_id long, {schema}")
     out_schema = to_arrow_schema(out_type)
-    texts = dealt.select("part", "doc_id", "text")
+    texts = dealt.select("part", "doc_id", "no_id", "text")
     asked = texts.groupBy("part").applyInArrow(ask, "bucket int, part int, payload binary")
     flags = asked.groupBy("bucket").applyInArrow(answer, "part int, kind int, payload binary")
     sent = texts.groupBy("part").cogroup(flags.groupBy("part")).applyInArrow(send, "bucket int, part int, payload binary")
     owned = sent.groupBy("bucket").applyInArrow(judge, "part int, kind int, payload binary")
     told = flags.unionByName(owned)
-    done = texts.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(mark, out_type)
-    return done.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+    return texts.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(mark, out_type)
 
 
 def window_classes(units: Units) -> Classes:

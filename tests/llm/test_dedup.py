@@ -217,3 +217,13 @@ def test_a_hot_passage_sends_one_string_per_part(spark):
     rows = [(i, f"{passage} tail{i}", "en", "s", 1) for i in range(400)]
     got = words.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), parts=4)
     assert sorted((r.n_words, r.n_removed) for r in got.collect()) == [(31, 0)] + [(31, 30)] * 399
+
+
+def test_the_largest_id_comes_back_as_itself(spark):
+    from airq.llm import suffix, words
+
+    top, text = 2 ** 63 - 1, " ".join(f"w{i}" for i in range(40))
+    rows = spark.createDataFrame([(top, text), (None, text), (4, text), (top, "x"), (None, "x"), (None, None)], "doc_id long, text string")
+    for removed in (suffix.suffix_dedup(rows), words.substring_dedup(rows)):
+        got = sorted(((r.doc_id is None, r.doc_id or 0, r.n_removed > 0) for r in removed.collect()))
+        assert got == [(False, 4, False), (False, top, False), (False, top, True), (True, 0, False), (True, 0, False), (True, 0, True)]
