@@ -55,6 +55,7 @@ from airq.operators.regions import (
     state_status_breakdown,
     top_areas,
 )
+from airq.operators.sites import merge_bitmaps, site_bitmaps, site_codes, site_counts
 from airq.operators.summary import (
     merge_sums,
     partial_sums,
@@ -77,6 +78,7 @@ from airq.operators.trends import (
     year_month_mean,
 )
 from airq.sources.readings import clean, clean_readings, read_readings
+from airq.sources.footers import footer_profile, from_footers
 from airq.sources.snapshots import load_snapshot, refresh
 from airq.sources.store import load_readings, stored, write_readings
 

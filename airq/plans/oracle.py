@@ -438,6 +438,17 @@ SELECT date, state, area, primary_pollutant, aqi_value, air_quality_status,
 ORDER BY date DESC NULLS LAST, state, area, primary_pollutant NULLS LAST, aqi_value NULLS LAST,
          air_quality_status NULLS LAST, number_of_monitoring_stations LIMIT 500"""),
         "preview_count": _sql("SELECT count(*) AS readings FROM slice", SLICE),
+        "site_counts": _sql("""
+SELECT part, label, count(DISTINCT site) AS sites FROM (
+  SELECT unnest([struct_pack(part := 'month', label := CAST(month_start AS VARCHAR)),
+                 struct_pack(part := 'quarter', label := CAST(CAST(date_trunc('quarter', date) AS DATE) AS VARCHAR)),
+                 struct_pack(part := 'all', label := 'all')], recursive := true),
+         state || chr(9) || area AS site FROM readings)
+WHERE label IS NOT NULL GROUP BY part, label"""),
+        "footer_profile": _sql("""
+SELECT year, count(*) AS readings, count(aqi_value) AS measured, min(aqi_value) AS lowest, max(aqi_value) AS highest,
+       max(number_of_monitoring_stations) AS most_stations
+FROM readings GROUP BY year"""),
         "summary_rollup": _sql(" UNION ALL ".join(
             f"""SELECT '{part}' AS part, CAST({key} AS VARCHAR) AS label, count(*) AS readings, avg(aqi_value) AS mean_aqi,
        {_pct('count(*)', '(SELECT count(*) FROM readings)')} AS pct

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from airq.functions.cells import aqi_band
 from airq.functions.measures import n_rows
-from airq.operators import catalog, explore, overview, pollutants, regions, summary, trends
+from airq.operators import catalog, explore, overview, pollutants, regions, sites, summary, trends
 from airq.schema import VALUE
-from airq.sources import store, tables
+from airq.sources import footers, store, tables
 
 # Values of the test tables that stand in for the default parameters (FIXTURES.md).
 YEARS = (1996, 1997, 1998)
@@ -124,6 +124,31 @@ def summary_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.summary_report(summary.merge_sums(*[spark.read.parquet(folder) for folder in _sums[key]]))
 
 
+# (application, tables) -> folder of bitmaps
+_bitmaps: dict[tuple, str] = {}
+
+
+def site_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct sites per month, quarter and of all time from bitmaps that are stored once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _bitmaps:
+        df = tables.readings(spark, sf_dir)
+        made = sites.site_bitmaps(df, sites.site_codes(df))
+        if store.work_folder(spark) is None:
+            return sites.site_counts(made)
+        folder = store.new_folder(spark, "bitmaps")
+        made.write.parquet(folder)
+        _bitmaps[key] = folder
+    return sites.site_counts(spark.read.parquet(_bitmaps[key]))
+
+
+def footer_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, values and their bounds per year from the footers of the stored table."""
+    df = tables.readings(spark, sf_dir)
+    path = store.stored_path(spark, sf_dir)
+    return footers.profile_of(df) if path is None else footers.footer_profile(spark, path, df.schema)
+
+
 def queries() -> dict[str, Query]:
     """Every query: the two loading ones, then the operators on the stored table."""
     return {
@@ -131,5 +156,7 @@ def queries() -> dict[str, Query]:
         "read_readings": tables.readings_through_csv,
         "readings_incremental": tables.readings_incremental,
         "summary_rollup": summary_rollup,
+        "site_counts": site_counts,
+        "footer_profile": footer_profile,
         **{name: _on_stored(operator) for name, operator in OPERATORS.items()},
     }

@@ -92,3 +92,9 @@ def stored(
         kept = load_readings(spark, path, readings.schema)
     _kept[key] = (path, kept, found)
     return kept
+
+
+def stored_path(spark: SparkSession, name: str) -> str | None:
+    """Folder of the stored copy ``name``, None where it was not stored."""
+    kept = _kept.get((spark.sparkContext.applicationId, name))
+    return kept[0] if kept else None
