@@ -438,6 +438,18 @@ SELECT date, state, area, primary_pollutant, aqi_value, air_quality_status,
 ORDER BY date DESC NULLS LAST, state, area, primary_pollutant NULLS LAST, aqi_value NULLS LAST,
          air_quality_status NULLS LAST, number_of_monitoring_stations LIMIT 500"""),
         "preview_count": _sql("SELECT count(*) AS readings FROM slice", SLICE),
+        "rejected_cells": """
+WITH cells AS (
+  SELECT l_linenumber AS stations, l_quantity AS quantity, l_tax AS tax, CAST(floor(l_extendedprice / 200) AS BIGINT) AS value
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+  JOIN nation ON c_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey
+)
+SELECT * FROM (
+  SELECT 'date' AS column, 'not a date' AS reason, count(*) FILTER (quantity = 7 AND tax = 0.0) AS cells FROM cells
+  UNION ALL SELECT 'number_of_monitoring_stations', 'not a whole number', count(*) FILTER (stations = 7) FROM cells
+  UNION ALL SELECT 'aqi_value', 'not a number', count(*) FILTER (quantity <> 1 AND value % 100 = 11) FROM cells
+  UNION ALL SELECT 'air_quality_status', 'not a known status', count(*) FILTER (quantity <> 1 AND value % 100 = 12) FROM cells
+) WHERE cells > 0""",
         "site_counts": _sql("""
 SELECT part, label, count(DISTINCT site) AS sites FROM (
   SELECT unnest([struct_pack(part := 'month', label := CAST(month_start AS VARCHAR)),

@@ -11,7 +11,7 @@ from airq.functions.cells import aqi_band
 from airq.functions.measures import n_rows
 from airq.operators import catalog, explore, overview, pollutants, regions, sites, summary, trends
 from airq.schema import VALUE
-from airq.sources import footers, store, tables
+from airq.sources import footers, rejects, store, tables
 
 # Values of the test tables that stand in for the default parameters (FIXTURES.md).
 YEARS = (1996, 1997, 1998)
@@ -158,5 +158,6 @@ def queries() -> dict[str, Query]:
         "summary_rollup": summary_rollup,
         "site_counts": site_counts,
         "footer_profile": footer_profile,
+        "rejected_cells": lambda spark, sf_dir: rejects.reject_counts(tables.damaged_intake(spark, sf_dir).rejects),
         **{name: _on_stored(operator) for name, operator in OPERATORS.items()},
     }

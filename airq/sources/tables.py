@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from airq.functions.cells import aqi_band
 from airq.sources.readings import clean, missing_to_null, read_readings
+from airq.sources.rejects import Intake, take_in
 from airq.sources.snapshots import load_snapshot, refresh
 from airq.sources.store import new_folder, stored, work_folder
 
@@ -148,3 +149,16 @@ def readings_incremental(spark: SparkSession, sf_dir: str, folder: str | None =
     """The cleaned table as it stands after two deliveries (see ``deliver``)."""
     path = new_folder(spark, "growing", _shared(spark, folder))
     return load_snapshot(spark, f"{path}/table", deliver(spark, sf_dir, path)[-1])
+
+
+def damaged_intake(spark: SparkSession, sf_dir: str, folder: str | None = None) -> Intake:
+    """The readings with further bad cells, by way of CSV, and what cleaning rejects of them."""
+    number, value = F.col("number_of_monitoring_stations"), F.col("aqi_value")
+    damaged = raw_readings(spark, sf_dir).withColumns({
+        "number_of_monitoring_stations": F.when(number == "7", "seven").otherwise(number),
+        "aqi_value": F.when(value.try_cast("int") % 100 == 11, F.concat(value, F.lit(" ug"))).otherwise(value),
+        "air_quality_status": F.when(value.try_cast("int") % 100 == 12, " Unknown").otherwise(F.col("air_quality_status")),
+    })
+    path = new_folder(spark, "damaged", _shared(spark, folder))
+    write_raw_csv(damaged, f"{path}/csv")
+    return take_in(spark, f"{path}/csv", f"{path}/rows")
