@@ -438,6 +438,8 @@ SELECT date, state, area, primary_pollutant, aqi_value, air_quality_status,
 ORDER BY date DESC NULLS LAST, state, area, primary_pollutant NULLS LAST, aqi_value NULLS LAST,
          air_quality_status NULLS LAST, number_of_monitoring_stations LIMIT 500"""),
         "preview_count": _sql("SELECT count(*) AS readings FROM slice", SLICE),
+        "clustered_slice": _sql(f"""SELECT {ALL_COLUMNS} FROM readings
+WHERE state = 'NATION_0' AND primary_pollutant = 'Brand#2' AND date BETWEEN DATE '1996-03-01' AND DATE '1997-08-31'"""),
         "rejected_cells": """
 WITH cells AS (
   SELECT l_linenumber AS stations, l_quantity AS quantity, l_tax AS tax, CAST(floor(l_extendedprice / 200) AS BIGINT) AS value

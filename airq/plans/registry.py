@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from airq.functions.cells import aqi_band
 from airq.functions.measures import n_rows
 from airq.operators import catalog, explore, overview, pollutants, regions, sites, summary, trends
 from airq.schema import VALUE
-from airq.sources import footers, rejects, store, tables
+from airq.sources import clustered, footers, rejects, store, tables
 
 # Values of the test tables that stand in for the default parameters (FIXTURES.md).
 YEARS = (1996, 1997, 1998)
@@ -142,6 +143,26 @@ def site_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sites.site_counts(spark.read.parquet(_bitmaps[key]))
 
 
+# (application, tables) -> folder of the clustered copy
+_clustered: dict[tuple, str] = {}
+CLUSTER_FILES = 64
+FIRST_DAY, LAST_DAY = dt.date(1996, 3, 1), dt.date(1997, 8, 31)
+
+
+def clustered_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One state and pollutant over some seasons, from the files that the zone table names."""
+    df = tables.readings(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _clustered:
+        if store.work_folder(spark) is None:
+            chosen = (F.col("state") == STATE) & (F.col("primary_pollutant") == POLLUTANTS[0])
+            return df.filter(chosen & F.col("date").between(F.lit(FIRST_DAY), F.lit(LAST_DAY)))
+        folder = store.new_folder(spark, "clustered")
+        clustered.write_clustered(df, folder, CLUSTER_FILES)
+        _clustered[key] = folder
+    return clustered.clustered_slice(spark, _clustered[key], df.schema, [STATE], FIRST_DAY, LAST_DAY, POLLUTANTS[:1])
+
+
 def footer_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows, values and their bounds per year from the footers of the stored table."""
     df = tables.readings(spark, sf_dir)
@@ -158,6 +179,7 @@ def queries() -> dict[str, Query]:
         "summary_rollup": summary_rollup,
         "site_counts": site_counts,
         "footer_profile": footer_profile,
+        "clustered_slice": clustered_slice,
         "rejected_cells": lambda spark, sf_dir: rejects.reject_counts(tables.damaged_intake(spark, sf_dir).rejects),
         **{name: _on_stored(operator) for name, operator in OPERATORS.items()},
     }
