@@ -69,11 +69,13 @@ class Encoder:
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.letters: dict[str, bool] = {}
+        self.tried: set[str] = set()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.last = np.zeros(top + 1, dtype=bool)  # ids that end a word
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.by_words = not whole and self.splits()
         low = "abcdefghijklmnopqrstuvwxyz"
+        self.cuts = all(map(self._apart, low + low.upper()))
         self.folds = self._ids(low.upper()) == self._ids(low) and all(self._ids(c.upper()) == self._ids(c) for c in low)
 
     def splits(self) -> bool:
@@ -94,14 +96,16 @@ class Encoder:
             marks = MARKS.decode()
             self.letters[char] = char.isalpha() and all(
                 self._ids(char + m) == self._ids(char) + self._ids(m) for m in [*marks, marks, marks[::-1]])
+            if self.letters[char]:
+                self.tried.add(char)
         return self.letters[char]
 
     def _plain(self, word: bytes) -> bool:
         """Whether a word consists of such letters."""
-        if word.isascii() and not word.isalpha():
-            return False
+        if word.isascii():
+            return word.isalpha() and self.cuts
         text = word.decode("utf-8", "surrogatepass")
-        return text.isalpha() and all(map(self._apart, set(text)))
+        return text.isalpha() and (self.tried.issuperset(text) or all(map(self._apart, set(text))))
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
