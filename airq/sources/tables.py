@@ -89,15 +89,22 @@ def readings(spark: SparkSession, sf_dir: str, refresh: bool = False) -> DataFra
     return stored(spark, sf_dir, lambda: cleaned_readings(spark, sf_dir), inputs(sf_dir), refresh=refresh)
 
 
-def write_raw_csv(raw: DataFrame, path: str, mode: str = "error") -> None:
-    """Write text readings as CSV, padding kept."""
-    (
-        raw.write.mode(mode).option("header", True)
+def write_raw_csv(raw: DataFrame, path: str, mode: str = "error", by: str | None = None) -> None:
+    """Write text readings as CSV, padding kept, in folders ``by`` a column if one is given.
+
+    The mode ``dynamic`` replaces the folders that ``raw`` has rows for.
+    """
+    writer = (
+        raw.write.option("header", True)
         .option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
-        .csv(path)
     )
+    if mode == "dynamic":
+        writer = writer.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    else:
+        writer = writer.mode(mode)
+    (writer.partitionBy(by) if by else writer).csv(path)
 
 
 def _shared(spark: SparkSession, folder: str | None) -> str:
@@ -128,21 +135,18 @@ def deliver(spark: SparkSession, sf_dir: str, path: str) -> list[int]:
     second brings what was missing, replaces the draft and withdraws that file.
     """
     raw = raw_readings(spark, sf_dir)
-    quarter = F.pmod(F.xxhash64(*raw.columns), F.lit(4))
-    draft = raw.withColumn("state", F.lit("draft"))
-
-    def write(number, rows, of):
-        write_raw_csv(rows.filter(quarter == of), f"{path}/input/{number}", "overwrite")
-
-    write(0, raw, 0)
-    write(1, draft, 1)
-    write(3, raw, 3)
-    write(9, draft, 2)
-    first = refresh(spark, f"{path}/table", [f"{path}/input"])
-    write(1, raw, 1)
-    write(2, raw, 2)
-    write_raw_csv(raw.limit(0), f"{path}/input/9", "overwrite")
-    return [first, refresh(spark, f"{path}/table", [f"{path}/input"])]
+    quarter = F.pmod(F.xxhash64(*raw.columns), F.lit(4)).cast("int")
+    drafts = quarter.isin(1, 2)
+    given = raw.withColumns({
+        "delivery": F.when(quarter == 2, 9).otherwise(quarter),
+        "state": F.when(drafts, "draft").otherwise(F.col("state"))})
+    files = f"{path}/input"
+    write_raw_csv(given, files, by="delivery")
+    first = refresh(spark, f"{path}/table", [files])
+    # Only the folders of the rows that are written are replaced.
+    write_raw_csv(raw.withColumn("delivery", quarter).filter(drafts), files, "dynamic", "delivery")
+    write_raw_csv(raw.limit(0), f"{files}/delivery=9", "overwrite")
+    return [first, refresh(spark, f"{path}/table", [files])]
 
 
 def readings_incremental(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
