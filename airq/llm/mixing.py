@@ -4,7 +4,7 @@ A classifier that is fitted to the labelled documents gives every document a cha
 for each domain. Its tokens count for the domains in these shares. Document rates are then
 sought that are not negative and make the expected tokens of each domain equal its
 target: a least-squares problem, solved by projected gradients. A step moves each
-document's rate along its own shares, then cuts it at the least rate allowed; only domain totals and
+document's rate along its own shares, then cuts it at zero; only domain totals and
 their curvature, a few numbers, are gathered per step, and a document's rate follows from
 the list of steps, so nothing is written between them.
 """
@@ -119,11 +119,11 @@ def memberships(docs: DataFrame, domains: Domains) -> DataFrame:
     return rows.mapInArrow(judge, "row long, n_tokens long, shares array<double>")
 
 
-def rates_of(shares: np.ndarray, steps: list[np.ndarray], least: float = 0.0) -> np.ndarray:
-    """Rates after ``steps`` from one: each is taken along the shares and cut at ``least``."""
+def rates_of(shares: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
+    """Rates after ``steps`` from one: each is taken along the shares and cut at zero."""
     rate = np.ones(len(shares))
     for step in steps:
-        rate = np.maximum(least, rate + shares @ step)
+        rate = np.maximum(0.0, rate + shares @ step)
     return rate
 
 
@@ -131,19 +131,15 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.array(column.flatten()).reshape(-1, width) if len(column) else np.zeros((0, width))
 
 
-def _totals(members: DataFrame, steps: list[np.ndarray], k: int, least: float, way: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Expected tokens of every domain at the rates after ``steps``, and their change by a further step.
-
-    Documents at the least rate count for the change only if the direction ``way`` raises them.
-    """
+def _totals(members: DataFrame, steps: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Expected tokens of every domain, and their change by a step, at the rates after ``steps``."""
     def add(batches):
         total, curve = np.zeros(k), np.zeros((k, k))
         for batch in batches:
             shares, tokens = _matrix(batch.column("shares"), k), batch.column("n_tokens").to_numpy()
-            rate = rates_of(shares, steps, least)
+            rate = rates_of(shares, steps)
             total += (rate * tokens) @ shares
-            free = (rate > least) | (shares @ way > 0)
-            curve += (shares * (tokens * free)[:, None]).T @ shares
+            curve += (shares * (tokens * (rate > 0))[:, None]).T @ shares
         yield pa.record_batch({"key": pa.array(range(k + k * k), pa.int32()), "value": [*total, *curve.ravel()]})
 
     sums = members.select("n_tokens", "shares").mapInArrow(add, "key int, value double").groupBy("key").agg(F.sum("value").alias("value"))
@@ -154,27 +150,26 @@ def _totals(members: DataFrame, steps: list[np.ndarray], k: int, least: float, w
 
 
 class Fit(NamedTuple):
-    """Steps that lead to the rates, and the least rate."""
+    """Steps that lead to the rates, and the fewest copies of a document."""
 
     steps: list[np.ndarray]
-    least: float
+    least: int
 
 
 def fit_rates(members: DataFrame, names: list[str], weights: Mapping[str, float], total: float | None = None) -> Fit:
     """Steps whose rates bring every domain with a weight to its part of ``total`` tokens.
 
-    Without ``total``, no document's rate is below one, and the total is the least that this allows: it rises
-    while documents of other domains add to a domain that already has its part. With ``total``, rates may fall to
-    zero. A domain that ``weights`` does not name is not mixed: its tokens have no target, and no step moves
-    along it. A weight of zero asks for none of a domain (without ``total`` that cannot be met). A domain
-    that no document belongs to cannot be reached and is left out. ``ValueError`` when the targets
+    Without ``total``, the least total is taken for which no domain has to shrink, and every document stays at least
+    once: the rates of a domain that has its part already are a little below one, for what documents of
+    other domains add to it, but its copies are not. A domain that ``weights`` does not name is not mixed: its
+    tokens have no target, and no step moves along it. A weight of zero asks for none of a domain and needs a total. A
+    domain that no document belongs to cannot be reached and is left out. ``ValueError`` when the targets
     are not met after ``STEPS`` steps.
     """
-    k = len(names)
-    least = 1.0 if total is None else 0.0
+    k, least = len(names), 1 if total is None else 0
     if not k:
         return Fit([], least)
-    have, _ = _totals(members, [], k, least, np.zeros(k))
+    have, _ = _totals(members, [], k)
     mixed = np.array([n in weights for n in names]) & (have > 0)
     weight = np.array([max(0.0, float(weights.get(n, 0.0))) for n in names]) * mixed
     if not weight.sum():
@@ -182,18 +177,15 @@ def fit_rates(members: DataFrame, names: list[str], weights: Mapping[str, float]
     if total is None and (weight[mixed] == 0).any():
         raise ValueError("a weight of zero needs a total: without one no document is dropped")
     weight = weight / weight.sum()
+    goal = float((have[weight > 0] / weight[weight > 0]).max()) if total is None else float(total)
     steps, scale, last = [], 1.0, np.inf
-    goal = 0.0 if total is None else float(total)
-    way = np.where(mixed, weight - have / have.sum(), 0.0)
     for _ in range(STEPS + 1):
-        now, curve = _totals(members, steps, k, least, way)
-        if total is None:
-            goal = max(goal, float((now[weight > 0] / weight[weight > 0]).max()))
+        now, curve = _totals(members, steps, k)
         left = np.where(mixed, weight * goal - now, 0.0)
         error = np.abs(left).max() / goal
         if error < ERROR:
             return Fit(steps, least)
-        # The cut can make a step too long; after a good one the next may be longer again.
+        # The cut at zero can make a step too long; after a good one the next may be longer again.
         scale = scale / 2 if error > last else min(1.0, 1.5 * scale)
         last = error
         # The gradient in the metric of the curvature; the ridge bounds steps along unseen directions.
@@ -217,8 +209,8 @@ def mixture(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float], do
 
     def rate(batches):
         for batch in batches:
-            own = rates_of(_matrix(batch.column("shares"), k), fit.steps, fit.least) if k else np.ones(batch.num_rows)
-            yield batch.append_column("rate", pa.array(own)).append_column("copies", _copies(own, batch.column("chance")))
+            own = rates_of(_matrix(batch.column("shares"), k), fit.steps) if k else np.ones(batch.num_rows)
+            yield batch.append_column("rate", pa.array(own)).append_column("copies", _copies(own, batch.column("chance"), fit.least))
 
     rated = members.withColumn("chance", _chance("row")).mapInArrow(
         rate, "row long, n_tokens long, shares array<double>, chance double, rate double, copies int")
@@ -230,9 +222,10 @@ def _chance(name: str) -> Column:
     return F.pmod(F.xxhash64(F.col(f"`{name}`").cast("long"), F.lit(9)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def _copies(rate: np.ndarray, chance: pa.Array) -> pa.Array:
+def _copies(rate: np.ndarray, chance: pa.Array, least: int) -> pa.Array:
     # A thousandth is added so that a rate of one that is a rounding error short stays one.
-    return pa.array(np.floor(rate + np.maximum(chance.to_numpy(zero_copy_only=False), 1e-3)).astype(np.int32))
+    copies = np.floor(rate + np.maximum(chance.to_numpy(zero_copy_only=False), 1e-3)).astype(np.int32)
+    return pa.array(np.maximum(copies, least))
 
 
 def _fitted(docs, labels, weights, domain, total) -> tuple[Domains, DataFrame, Fit]:
@@ -260,8 +253,8 @@ def mixed(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float], doma
             for at in range(0, batch.num_rows, 256):  # a row may come back many times
                 part = batch.slice(at, 256)
                 shares = np.concatenate([np.zeros((0, k)), *_shares(part.column("text"), domains)]) if k else None
-                own = rates_of(shares, fit.steps, fit.least) if k else np.ones(part.num_rows)
-                copies = _copies(own, part.column(name)).to_numpy()
+                own = rates_of(shares, fit.steps) if k else np.ones(part.num_rows)
+                copies = _copies(own, part.column(name), fit.least).to_numpy()
                 rows = np.repeat(np.arange(part.num_rows), copies)
                 for first in range(0, len(rows), 1024):
                     yield part.take(pa.array(rows[first:first + 1024])).select(columns)
