@@ -66,6 +66,8 @@ class Encoder:
         top = max(self.tokenizer.get_vocab_size(with_added_tokens=True) - 1, end_id or 0)
         self.dtype = np.dtype("<u2" if top < 1 << 16 else "<u4")
         self.end = b"" if end_id is None else np.array([end_id], dtype=self.dtype).tobytes()
+        # The same ids without offsets, where the library has it.
+        self._batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.letters: dict[str, bool] = {}
@@ -108,14 +110,14 @@ class Encoder:
         return text.isalpha() and (self.tried.issuperset(text) or all(map(self._apart, set(text))))
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+        found = self._batch(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in found]
 
     def _encoded_letters(self, words: list[bytes]) -> list[bytes]:
         """Ids of words of letters: some hundred in one text, cut where ids end a word."""
         groups = [words[i:i + 200] for i in range(0, len(words), 200)]
         out = []
-        for group, e in zip(groups, self.tokenizer.encode_batch([b" ".join(g).decode("utf-8", "surrogatepass") for g in groups], add_special_tokens=False)):
+        for group, e in zip(groups, self._batch([b" ".join(g).decode("utf-8", "surrogatepass") for g in groups], add_special_tokens=False)):
             ids = np.array(e.ids, dtype=self.dtype)
             ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
             if len(ends) != len(group) or ends[-1] != len(ids):
