@@ -22,12 +22,14 @@ def work_folder(spark: SparkSession, folder: str | None = None) -> str | None:
     ``folder`` if given, else the one named in ``spark.checkpoint.dir``, else the
     context's checkpoint folder. On a cluster a path that is local to each machine
     is refused: one without a scheme while the default file system is the local one.
+    The executors of ``local-cluster`` are processes of one machine and share its paths.
     """
     context = spark.sparkContext
     folder = folder or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
         return None
-    if not context.master.startswith("local[") and context.master != "local" and ":" not in folder:
+    one_machine = context.master.split("[")[0] in ("local", "local-cluster")
+    if not one_machine and ":" not in folder:
         default = context._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
         if default.startswith("file:"):
             raise ValueError(f"{folder} is local to each machine; name a shared folder with its scheme")

@@ -41,6 +41,13 @@ def test_a_folder_of_each_machine_is_refused_on_a_cluster():
         store.work_folder(session("/tmp/checkpoints", "spark://host:7077"))
 
 
+@pytest.mark.parametrize("master", ["local", "local[8]", "local[*]", "local-cluster[3,2,3000]"])
+def test_a_plain_path_serves_executors_on_one_machine(master):
+    assert store.work_folder(session("/tmp/checkpoints", master)) == "/tmp/checkpoints"
+    assert store.work_folder(session(None, master, "/tmp/checkpoints/")) == "/tmp/checkpoints"
+    assert store.new_folder(session("/tmp/checkpoints", master), "x").startswith("/tmp/checkpoints/airq-app-1-")
+
+
 def test_without_a_shared_folder_nothing_is_written(spark, monkeypatch):
     monkeypatch.setattr(store, "work_folder", lambda spark, folder=None: None)
     with pytest.warns(UserWarning, match="spark.checkpoint.dir"):
