@@ -33,6 +33,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -43,13 +44,55 @@ from airq.llm.rolling import mix, run_starts
 from airq.llm.shared import NO_ID, need, packed, partitions, shared_folder, text_or_empty, unpacked, written
 
 MAGIC, FOOT = b"TOKS2\0", "<6sHQQQQ"
-#: Words whose ids a worker remembers, about 200 bytes each; the half not used of late makes room.
+#: Words whose ids a worker remembers, about 50 bytes each; those not used of late make room.
 REMEMBERED = 600_000
+#: Bytes of texts that are split and looked up at a time.
+CHUNK = 4 << 20
 #: Punctuation that is looked up apart from the word before it.
 MARKS = b".,;:!?#$%&*|"
 MANIFEST = "shard int, path string, n_docs long, n_ids long, first_id long, last_id long"
 
 
+def _gathered(ids: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches of ``ids`` of the given starts and sizes, one after another."""
+    first = np.cumsum(size) - size
+    return ids[np.repeat(start - first, size) + np.arange(int(size.sum()))]
+
+
+class Known:
+    """Pieces of text with their ids, and a mark of each."""
+
+    def __init__(self, dtype: np.dtype):
+        self.keys = pa.array([], pa.string())
+        self.mark, self.size = np.zeros(0, dtype=bool), np.zeros(0, dtype=np.int64)
+        self.start, self.ids = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=dtype)
+
+    def places(self, wanted: pa.Array, learn) -> np.ndarray:
+        """Where each of ``wanted``, all different, is; ``learn`` gives marks, sizes and ids of new ones.
+
+        When there are too many, those that are not wanted make room.
+        """
+        at = pc.index_in(wanted, self.keys)
+        new = wanted.filter(at.is_null())
+        if len(self.keys) + len(new) > REMEMBERED and at.null_count + len(self.keys) > len(wanted):
+            self._keep(at.drop_null().to_numpy())
+            at = pc.index_in(wanted, self.keys)
+        out = at.fill_null(-1).to_numpy().astype(np.int64)
+        if len(new):
+            out[out < 0] = np.arange(len(self.keys), len(self.keys) + len(new))
+            mark, size, ids = learn(new.to_pylist())
+            self.keys = pa.concat_arrays([self.keys, new])
+            self.mark, self.size = np.append(self.mark, mark), np.append(self.size, size)
+            self.start, self.ids = np.append(self.start, len(self.ids) + np.cumsum(size) - size), np.append(self.ids, ids)
+        return out
+
+    def _keep(self, at: np.ndarray) -> None:
+        self.keys = self.keys.take(pa.array(at))
+        self.ids = _gathered(self.ids, self.start[at], self.size[at])
+        self.mark, self.size = self.mark[at], self.size[at]
+        self.start = np.cumsum(self.size) - self.size
+
+
 class Encoder:
     """Ids of texts as packed integers.
 
@@ -65,11 +108,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         top = max(self.tokenizer.get_vocab_size(with_added_tokens=True) - 1, end_id or 0)
         self.dtype = np.dtype("<u2" if top < 1 << 16 else "<u4")
-        self.end = b"" if end_id is None else np.array([end_id], dtype=self.dtype).tobytes()
+        self.end = np.array([] if end_id is None else [end_id], dtype=self.dtype)
         # The same ids without offsets, where the library has it.
         self._batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.cores, self.others = Known(self.dtype), Known(self.dtype)
         self.letters: dict[str, bool] = {}
         self.tried: set[str] = set()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -102,70 +144,90 @@ class Encoder:
                 self.tried.add(char)
         return self.letters[char]
 
-    def _plain(self, word: bytes) -> bool:
+    def _plain(self, word: str) -> bool:
         """Whether a word consists of such letters."""
         if word.isascii():
             return word.isalpha() and self.cuts
-        text = word.decode("utf-8", "surrogatepass")
-        return text.isalpha() and (self.tried.issuperset(text) or all(map(self._apart, set(text))))
+        return word.isalpha() and (self.tried.issuperset(word) or all(map(self._apart, set(word))))
 
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        found = self._batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in found]
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids of the texts, and the ids."""
+        found = [np.array(e.ids, dtype=self.dtype) for e in self._batch(texts, add_special_tokens=False)]
+        return np.array([len(ids) for ids in found], dtype=np.int64), np.concatenate([*found, self.end[:0]])
 
-    def _encoded_letters(self, words: list[bytes]) -> list[bytes]:
-        """Ids of words of letters: some hundred in one text, cut where ids end a word."""
+    def _encoded_letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of words of letters: some hundred in one text, cut where ids end a word."""
         groups = [words[i:i + 200] for i in range(0, len(words), 200)]
-        out = []
-        for group, e in zip(groups, self._batch([b" ".join(g).decode("utf-8", "surrogatepass") for g in groups], add_special_tokens=False)):
+        sizes, found = [np.zeros(0, dtype=np.int64)], [self.end[:0]]
+        for group, e in zip(groups, self._batch([" ".join(g) for g in groups], add_special_tokens=False)):
             ids = np.array(e.ids, dtype=self.dtype)
-            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+            ends = np.flatnonzero(self.last[ids]) + 1
+            size = np.diff(ends, prepend=0)
             if len(ends) != len(group) or ends[-1] != len(ids):
-                out += self._encoded([w.decode("utf-8", "surrogatepass") for w in group])
-                continue
-            data, size = ids.tobytes(), self.dtype.itemsize
-            out += [data[a * size:b * size] for a, b in zip([0, *ends], ends)]
-        return out
+                size, ids = self._encoded(group)
+            sizes.append(size)
+            found.append(ids)
+        return np.concatenate(sizes), np.concatenate(found)
 
-    def _learn(self, words: list[bytes]) -> None:
-        """Ids of new words. Letters and the punctuation behind them are looked up apart, ASCII in lower case."""
-        parts, new = [], {}
-        known, older = self.known, self.older
-        for w in words:
-            if w in older:
-                known[w] = older[w]
-                continue
-            text = w.lower() if self.folds and w.isascii() else w
-            core = text.rstrip(MARKS)
-            plain = core != b"" and self._plain(core)
-            pair = (core, text[len(core):]) if plain else (w, b"")
-            parts.append((w, pair))
-            for p in pair:
-                if p not in known:
-                    if p in older:
-                        known[p] = older[p]
-                    else:
-                        new[p] = plain and p == core
-        new.pop(b"", None)
-        plain = [p for p, letters in new.items() if letters]
-        other = [p for p, letters in new.items() if not letters]
-        known.update(zip(plain, self._encoded_letters(plain)))
-        known.update(zip(other, self._encoded([p.decode("utf-8", "surrogatepass") for p in other])))
-        for w, (core, rest) in parts:
-            known[w] = known[core] + known[rest] if core and rest else known[core or rest]
+    def _learn_cores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Marks of words of letters, and the ids of these."""
+        plain = np.array([self._plain(w) for w in words], dtype=bool)
+        size = np.zeros(len(words), dtype=np.int64)
+        size[plain], ids = self._encoded_letters([w for w, letters in zip(words, plain.tolist()) if letters])
+        return plain, size, ids
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _learn_others(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.ones(len(words), dtype=bool), *self._encoded(words)
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids of different words, and the ids.
+
+        Letters and the punctuation behind them are looked up apart, ASCII in lower case.
+        """
+        low = pc.if_else(pc.string_is_ascii(words), pc.ascii_lower(words), words) if self.folds else words
+        core = pc.ascii_rtrim(low, characters=MARKS.decode())
+        coded = core.dictionary_encode()
+        at = self.cores.places(coded.dictionary, self._learn_cores)[coded.indices.to_numpy()]
+        plain = self.cores.mark[at]
+        behind = pc.subtract(pc.binary_length(low), pc.binary_length(core)).to_numpy()
+        marked, odd = plain & (behind > 0), ~plain
+        rests = [w[-n:] for w, n in zip(low.filter(pa.array(marked)).to_pylist(), behind[marked].tolist())]
+        rest = pa.concat_arrays([pa.array(rests, pa.string()), words.filter(pa.array(odd))]).dictionary_encode()
+        other = self.others.places(rest.dictionary, self._learn_others)[rest.indices.to_numpy()]
+        start, size = np.zeros((len(words), 2), dtype=np.int64), np.zeros((len(words), 2), dtype=np.int64)
+        start[:, 0], size[:, 0] = self.cores.start[at], self.cores.size[at]
+        for rows, places in ((marked, other[:len(rests)]), (odd, other[len(rests):])):
+            start[rows, 1], size[rows, 1] = len(self.cores.ids) + self.others.start[places], self.others.size[places]
+        return size.sum(axis=1), _gathered(np.concatenate([self.cores.ids, self.others.ids]), start.ravel(), size.ravel())
+
+    def column(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Numbers of ids of some texts at a time, and the ids, ends included; no text is null."""
         if not self.by_words:
-            return [ids + self.end for ids in self._encoded(texts)]
+            for at in range(0, len(texts), 256):
+                size, ids = self._encoded(texts.slice(at, 256).to_pylist())
+                yield size + len(self.end), np.insert(ids, np.repeat(np.cumsum(size), len(self.end)), np.tile(self.end, len(size)))
+            return
+        held, at = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64), 0
+        while at < len(texts):
+            till = int(np.searchsorted(held, (held[at - 1] if at else 0) + CHUNK, side="right"))
+            piece = texts.slice(at, max(1, till - at)).cast(pa.string())
+            at += len(piece)
+            split = pc.ascii_split_whitespace(piece)
+            coded = split.flatten().dictionary_encode()
+            size, ids = self._words(coded.dictionary)
+            start, code = np.cumsum(size) - size, coded.indices.to_numpy()
+            ends = np.cumsum(pc.list_value_length(split).to_numpy(), dtype=np.int64)
+            # A text's end is one more word.
+            start = np.insert(start[code], ends, len(ids))
+            size = np.insert(size[code], ends, len(self.end))
+            total = np.append(0, np.cumsum(size))[np.append(0, ends + np.arange(1, len(ends) + 1))]
+            yield np.diff(total), _gathered(np.append(ids, self.end), start, size)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
         out = []
-        for at in range(0, len(texts), 256):
-            split = [t.encode("utf-8", "surrogatepass").split() for t in texts[at:at + 256]]
-            new = set().union(*split).difference(self.known)
-            if 2 * (len(self.known) + len(new)) > REMEMBERED:
-                self.known, self.older, new = {}, self.known, set().union(*split)
-            self._learn(sorted(new))
-            get = self.known.__getitem__
-            out += [b"".join(map(get, words)) + self.end for words in split]
+        for size, ids in self.column(pa.array(texts, pa.string())):
+            ends = np.cumsum(size).tolist()
+            out += [ids[a:b].tobytes() for a, b in zip([0, *ends], ends)]
         return out
 
 
@@ -258,10 +320,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int | None = 2, shards
                 fs.create_dir(root, recursive=True)
                 path = f"shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
                 file = fs.open_output_stream(f"{root}/{path}.bin", compression=None)
-            encoded = encoder.encode(batch.column("text").to_pylist())
-            for piece in encoded:
-                file.write(piece)
-            sizes.append(np.array([len(e) for e in encoded], dtype=np.int64) // encoder.dtype.itemsize)
+            for size, ids in encoder.column(batch.column("text")):
+                file.write(ids.tobytes())
+                sizes.append(size)
             nameless += batch.column("doc_id").null_count
             doc_ids.append(batch.column("doc_id").fill_null(NO_ID).to_numpy())
         if file is None:

@@ -98,6 +98,28 @@ def test_encoder_forgets_without_losing_words(monkeypatch):
     assert tokens.Encoder(path, 2).encode(texts) == tokens.Encoder(path, 2, whole=True).encode(texts)
 
 
+@pytest.mark.parametrize("remembered", [5, 600_000])
+@pytest.mark.parametrize("chunk", [1, 90, 1 << 20])
+@pytest.mark.parametrize("end", [2, None])
+def test_a_column_is_encoded_piece_by_piece(monkeypatch, remembered, chunk, end):
+    import pyarrow as pa
+
+    monkeypatch.setattr(tokens, "REMEMBERED", remembered)
+    monkeypatch.setattr(tokens, "CHUNK", chunk)
+    texts = ["", " \t", "One two, TWO. É, é! ###", "x" * 200, "", *[f"w{i % 7} Word{'s' * (i % 5)}.{'?' * (i % 3)} the" for i in range(50)], "the\x0bend\x1cof\xa0it"]
+    path = queries.tokenizer_path()
+    whole = tokens.Encoder(path, end, whole=True)
+    encoder = tokens.Encoder(path, end)
+    for kind in (pa.string(), pa.large_string()):
+        for _ in range(2):
+            sizes, ids = zip(*encoder.column(pa.array(["other", *texts], kind).slice(1)))
+            assert (len(ids) > 1) == (chunk < 1 << 20) and len(encoder.cores.keys) < 60
+            want = whole.encode(texts)
+            assert b"".join(i.tobytes() for i in ids) == b"".join(want)
+            assert [n * encoder.dtype.itemsize for s in sizes for n in s.tolist()] == [len(w) for w in want]
+    assert not list(encoder.column(pa.array([], pa.string())))
+
+
 def test_tokens_of_awkward_rows(spark, docs, empty):
     odd = nasty(spark, docs)
     got = tokens.read_tokens(tokens.write_tokens(odd, queries.tokenizer_path())).orderBy("start").collect()
