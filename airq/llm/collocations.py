@@ -5,7 +5,8 @@ between pieces. Texts do not move. A shard's words are counted, and words that a
 over all shards get a number that all shards share. Then every shard's index lists its
 phrases by interval extension: those of two frequent words, then, in the stretches where one
 frequent pair follows the other, those of three, and in stretches of frequent triples all longer ones up to
-the depth. Counts are summed across shards after each step. What a shard learns of the others comes to it by a
+the depth. Counts are summed across shards after each step; those of three words and more travel packed,
+a shard's share of each part of all phrases in one row, and only what is frequent becomes rows. What a shard learns of the others comes to it by a
 shuffle on the shard, restricted to what occurs in it, so nothing is broadcast.
 
 An extension of a phrase that is as frequent as the phrase itself marks it as part of a longer one.
@@ -23,7 +24,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from airq.llm.fmindex import Index
-from airq.llm.shared import need, packed, unpacked, written
+from airq.llm.rolling import BASE, mix, run_starts
+from airq.llm.shared import need, packed, partitions, unpacked, written
 
 #: Words of a shard (its index takes some 60 bytes a word), and bytes of text taken at a time.
 SHARD_WORDS, CHUNK = 3 << 20, 1 << 20
@@ -175,16 +177,24 @@ def _pairs(texts: DataFrame, words: DataFrame) -> DataFrame:
         count, "shard long, first long, second long, n long")
 
 
-def _longer(texts: DataFrame, known: DataFrame, length: int, depth: int) -> DataFrame:
-    """``shard, ids, n`` of phrases of more than ``length`` and up to ``depth`` words, all of whose parts of
-    ``length`` words are known.
+def _dealt(words: np.ndarray, parts: int) -> np.ndarray:
+    """In which of ``parts`` each phrase (a row of words) is summed, in every shard the same."""
+    found = np.zeros(len(words), dtype=np.uint64)
+    for column in words.T:
+        found = mix(found * np.uint64(BASE) + column.astype(np.uint64))
+    return (found % np.uint64(parts)).astype(np.int64)
+
+
+def _longer(texts: DataFrame, known: DataFrame, length: int, depth: int, parts: int) -> DataFrame:
+    """``part, shard, payload`` of phrases of more than ``length`` and up to ``depth`` words, all of whose parts of
+    ``length`` words are known; a payload has phrases of one size that are summed in ``part``, and their counts.
 
     ``known`` has per shard its words (``local``, one id) and phrases of that length (their ids).
     """
-    kind = pa.list_(pa.int64())
+    schema = pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("payload", pa.binary())])
 
     def count(left, right):
-        out = [pa.table({"shard": pa.array([], pa.int64()), "ids": pa.array([], kind), "n": pa.array([], pa.int64())})]
+        out = []
         if left.num_rows and right.num_rows:
             single = right["local"].is_valid()
             words, phrases = right.filter(single), right.filter(pc.invert(single))
@@ -196,12 +206,38 @@ def _longer(texts: DataFrame, known: DataFrame, length: int, depth: int) -> Data
             for size in range(3, depth + 1):
                 found = index.right(found) if size % 2 else index.left(found)
                 if size > length:
-                    ids = pa.ListArray.from_arrays(
-                        np.arange(0, found.words.size + 1, size, dtype=np.int32), pa.array(shared[found.words].ravel()))
-                    out.append(pa.table({"shard": np.full(len(ids), left["shard"][0].as_py()), "ids": ids, "n": found.count.astype(np.int64)}))
-        return pa.concat_tables(out)
-
-    return texts.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(count, "shard long, ids array<bigint>, n long")
+                    ids = shared[found.words]
+                    part = _dealt(ids, parts)
+                    order = np.argsort(part, kind="stable")
+                    at = np.flatnonzero(run_starts(part[order]))
+                    for own in np.split(order, at[1:]) if len(at) else ():
+                        out.append({"part": int(part[own[0]]), "shard": left["shard"][0].as_py(),
+                                    "payload": packed(ids[own], found.count[own].astype(np.int64))})
+        return pa.Table.from_pylist(out, schema=schema)
+
+    return texts.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(count, "part long, shard long, payload binary")
+
+
+def _frequent(listed: DataFrame, least: int, by_shard: bool) -> DataFrame:
+    """``ids, f`` of the phrases that occur ``least`` times or more over all shards, or a row for each ``shard`` that has one."""
+    def add(rows):
+        sizes, out = defaultdict(list), [pa.table({n: pa.array([], t) for n, t in (("shard", pa.int64()), ("ids", pa.list_(pa.int64())), ("f", pa.int64()))})]
+        for shard, payload in zip(rows["shard"].to_pylist(), rows["payload"].to_pylist()):
+            words, n = unpacked(payload)
+            sizes[words.shape[1]].append((np.full(len(n), shard), words, n))
+        for size, own in sizes.items():
+            shard, words, n = (np.concatenate(x) for x in zip(*own))
+            order = np.lexsort(words.T)
+            shard, words, n = shard[order], words[order], n[order]
+            first = np.flatnonzero(run_starts(*words.T))
+            f, held = np.add.reduceat(n, first), np.diff(np.append(first, len(n)))
+            at = np.flatnonzero(np.repeat(f >= least, held)) if by_shard else first[f >= least]
+            ids = pa.ListArray.from_arrays(np.arange(0, len(at) * size + 1, size, dtype=np.int32), pa.array(words[at].ravel()))
+            out.append(pa.table({"shard": shard[at], "ids": ids, "f": np.repeat(f, held)[at]}))
+        table = pa.concat_tables(out)
+        return table if by_shard else table.drop_columns("shard")
+
+    return listed.groupBy("part").applyInArrow(add, f"{'shard long, ' * by_shard}ids array<bigint>, f long")
 
 
 def _flat(lists: pa.ChunkedArray) -> np.ndarray:
@@ -235,6 +271,7 @@ def collocations(
     occur, empty tables give no rows, other columns are ignored. A text of any length is cut into
     shards between pieces; one piece stays in one shard.
     """
+    parts = partitions(docs.sparkSession)
     made = written(shards(docs, shard_words))
     texts = made.filter("payload IS NOT NULL").select("shard", "payload")
     every = made.filter("payload IS NULL")
@@ -256,15 +293,11 @@ def collocations(
         return here.unionByName(rows.select("shard", F.lit(None).cast("long").alias("local"), "ids"))
 
     if depth > 2:
-        three = _longer(texts, with_phrases(pairs.select("shard", F.array("first", "second").alias("ids"))), 2, 3).select(
-            "shard", *[F.col("ids")[i].alias(c) for i, c in enumerate("xyz")], "n")
-        triples = written(
-            three.withColumn("f", F.sum("n").over(Window.partitionBy("x", "y", "z"))).filter(F.col("f") >= least)
-            .select("shard", F.array("x", "y", "z").alias("ids"), "f"))
+        three = _longer(texts, with_phrases(pairs.select("shard", F.array("first", "second").alias("ids"))), 2, 3, parts)
+        triples = written(_frequent(three, least, by_shard=True))
         counts = counts.unionByName(triples.select("ids", "f").distinct())
     if depth > 3:
-        longer = _longer(texts, with_phrases(triples), 3, depth).groupBy("ids").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
-        counts = counts.unionByName(longer)
+        counts = counts.unionByName(_frequent(_longer(texts, with_phrases(triples), 3, depth, parts), least, by_shard=False))
     counts = written(counts)
 
     # Extensions by one word, on either side, that are as frequent as the phrase itself.

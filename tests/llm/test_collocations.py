@@ -71,6 +71,24 @@ def test_empty_tables(spark, empty):
     assert collocations.collocations(lone, 1).collect() == []
 
 
+def test_rare_phrases_of_frequent_pairs_do_not_become_rows(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(12)}" for _ in range(40)) + " one two three four." for _ in range(300)]
+    docs = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string").repartition(3).cache()
+    listed, plain = [], collocations._longer
+
+    def longer(*args):
+        listed.append(plain(*args).cache())
+        return listed[-1]
+
+    monkeypatch.setattr(collocations, "_longer", longer)
+    got = collocations.collocations(docs, 40, shard_words=4000)
+    assert sorted(map(tuple, got.collect())) == brute([(t, "en") for t in texts], 40, 5, 2000)
+    shards, parts = collocations.shards(docs, 4000).filter("payload IS NOT NULL").count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    triples = len({tuple(w[i:i + 3]) for w in (t.split() for t in texts) for i in range(len(w) - 2)})
+    assert len(listed) == 2 and all(0 < x.count() <= 2 * shards * parts < triples for x in listed)
+
+
 def test_scores_beyond_64_bits(spark):
     """``1000 a n`` is about 1.6e13 here; the expression is tried on its own with larger counts."""
     from pyspark.sql import functions as F
