@@ -1,7 +1,8 @@
 """Suffix-array deduplication on windows of bytes, by external induced sorting.
 
 Super-k-mers bring all windows that can be equal to one shard (see ``superkmer``). A
-shard sorts the suffixes of its strings by their first ``width`` bytes:
+shard sorts the suffixes of those strings that have a window whose hash recurs, by their
+first ``width`` bytes:
 
 1. Suffixes are of type L or S (larger or smaller than their right neighbour); the
    leftmost S of each run starts a piece. Pieces are named in order, and the
@@ -27,8 +28,8 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 
-from airq.llm.rolling import run_starts
-from airq.llm.superkmer import CROWDED, Classes, Units, remove_repeats
+from airq.llm.rolling import grams, run_starts
+from airq.llm.superkmer import CROWDED, Classes, Units, chunk_slices, remove_repeats
 
 #: Bytes of a window, and of the pieces its minimiser is chosen from.
 WIDTH, GRAM = 50, 16
@@ -133,7 +134,7 @@ def doubled(names: np.ndarray, depth: int) -> np.ndarray:
         key = np.where(ahead < len(names), rank[np.minimum(ahead, len(names) - 1)] + 1, 0)
         rows = refine(rank, rows, key)
         step *= 2
-    return np.argsort(rank, kind="stable")
+    return np.argsort(rank)  # what is still tied may come in any order
 
 
 def _types(text: np.ndarray) -> np.ndarray:
@@ -300,12 +301,44 @@ def induced(text: np.ndarray, depth: int, held: int = HELD, base: int = BASE) ->
         q.close()
 
 
+def recurring(strings: list[bytes], n_windows: np.ndarray, width: int) -> np.ndarray:
+    """Mask of the strings with a window whose hash another window has; windows of the others are equal to none."""
+    digest = []
+    for at in chunk_slices(strings):
+        codes = np.frombuffer(b"".join(strings[at]), dtype=np.uint8)
+        n = n_windows[at]
+        start = np.cumsum([0, *map(len, strings[at])])[:-1]
+        digest.append(grams(codes, width)[np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())])
+    digest = np.concatenate(digest)
+    order = np.argsort(digest)
+    ordered = digest[order]
+    same = np.flatnonzero(ordered[1:] == ordered[:-1])
+    twice = np.zeros(len(digest), dtype=bool)
+    twice[order[same]] = twice[order[same + 1]] = True
+    return np.logical_or.reduceat(twice, np.cumsum(n_windows) - n_windows)
+
+
 def suffix_classes(width: int, held: int = HELD, base: int = BASE) -> Classes:
-    """Equal windows get equal numbers, from the order and common prefixes of all suffixes."""
+    """Equal windows get equal numbers, from the order and common prefixes of all suffixes.
+
+    Strings none of whose windows recurs by its hash are left out of the order; each of their windows is its own class.
+    """
 
     def classes(strings: list[bytes], n_windows: np.ndarray) -> np.ndarray:
         if not strings:
             return np.zeros(0, dtype=np.int64)
+        again = recurring(strings, n_windows, width)
+        label = np.arange(n_windows.sum())
+        chosen = np.flatnonzero(again)
+        if len(chosen):
+            # Numbers of the order are below that of its windows, the others' follow.
+            n_sorted = int(n_windows[chosen].sum())
+            of_sorted = np.repeat(again, n_windows)
+            label[of_sorted] = by_order([strings[i] for i in chosen.tolist()], n_windows[chosen])
+            label[~of_sorted] = np.arange(n_sorted, len(label))
+        return label
+
+    def by_order(strings: list[bytes], n_windows: np.ndarray) -> np.ndarray:
         size = np.array([len(s) for s in strings])
         joined = np.frombuffer(b"\0".join(strings) + b"\0", dtype=np.uint8)
         text = joined.astype(np.int16) + 1

@@ -37,10 +37,15 @@ from pyspark.sql.types import StructType
 from airq.llm.rolling import grams, mix, prefix, run_starts, sliding_min, spans
 from airq.llm.shared import NO_ID, need, packed, text_or_empty, unpacked
 
-#: Bytes of text that are hashed at a time, about 50 bytes of memory each.
-CHUNK = 1 << 20
-#: Text bytes of a part. A part's text, and the strings it sends, are in one task's memory.
-PART_BYTES = 4 << 20
+#: Bytes of text that are hashed at a time, about 50 bytes of memory each; what is made of them fits a core's cache.
+CHUNK = 1 << 18
+#: Text bytes of a part. A part's text, and the strings it sends, are in one task's memory. Parts send to all
+#: buckets, of which there are as many, so payloads grow with the square of parts: they are few and large.
+PART_BYTES = 16 << 20
+#: A small corpus is dealt into up to so many parts, of so many bytes at least, to keep all cores busy.
+FEW_PARTS, FEW_BYTES = 64, 4 << 20
+#: Bytes of a bucket's strings whose windows are put in order at a time.
+SLICE = 4 << 20
 #: Super-k-mers of one minimiser, over all parts, above which it counts as crowded.
 CROWDED = 20_000
 
@@ -85,15 +90,21 @@ def chunk_of(bodies: list[bytes], first: int, words: bool) -> Chunk:
     return Chunk(buffer, spans(prefix(codes), low, high), low, high, doc)
 
 
-def chunks_of(bodies: list[bytes], words: bool, size: int = CHUNK) -> Iterator[Chunk]:
+def chunk_slices(bodies: list[bytes], size: int = CHUNK) -> Iterator[slice]:
+    """Stretches of ``bodies`` of about ``size`` bytes."""
     start, held = 0, 0
     for i, body in enumerate(bodies):
         if held and held + len(body) > size:
-            yield chunk_of(bodies[start:i], start, words)
+            yield slice(start, i)
             start, held = i, 0
         held += len(body)
     if start < len(bodies):
-        yield chunk_of(bodies[start:], start, words)
+        yield slice(start, len(bodies))
+
+
+def chunks_of(bodies: list[bytes], words: bool, size: int = CHUNK) -> Iterator[Chunk]:
+    for at in chunk_slices(bodies, size):
+        yield chunk_of(bodies[at], at.start, words)
 
 
 def super_kmers(chunk: Chunk, units: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -171,17 +182,18 @@ class Strings(NamedTuple):
     """Distinct super-k-mers of a part and where they occur."""
 
     bodies: list[bytes]
-    windows: list[int]
-    buckets: list[int]
+    windows: np.ndarray
+    buckets: np.ndarray
+    slices: np.ndarray  # 16 bits that strings with a common window have in common
     least: np.ndarray
     most: np.ndarray
-    occurrence: list[tuple[int, int, int]]  # string, document, first window (unit in the document)
+    occurrence: np.ndarray  # rows of string, document, first window (unit in the document)
 
 
 def _strings(ids, bodies, units: Units, marks: np.ndarray, full: np.ndarray, n_buckets: int) -> Strings:
     """Super-k-mers whose minimiser is in ``marks`` (ascending)."""
     known: dict[bytes, int] = {}
-    windows, buckets, occurrence, n = [], [], [], units.width
+    windows, hashes, occurrence, n = [], [], [], units.width
     for chunk in chunks_of(bodies, units.words):
         at, count, mark = super_kmers(chunk, units)
         place = np.searchsorted(marks, mark)
@@ -194,51 +206,72 @@ def _strings(ids, bodies, units: Units, marks: np.ndarray, full: np.ndarray, n_b
             count, mark, crowd = np.where(np.repeat(crowd, reps), 1, np.repeat(count, reps)), np.repeat(mark, reps), np.repeat(crowd, reps)
         if not len(at):
             continue
-        to = (mix(mark) % np.uint64(n_buckets)).astype(np.int64)
         docs = chunk.doc[at]
         base = np.searchsorted(chunk.doc, docs)  # first unit of the document
-        lows, highs = chunk.low[at], chunk.high[at + count + n - 2]
-        for a, b, k, bucket, doc, window, single in zip(
-            lows.tolist(), highs.tolist(), count.tolist(), to.tolist(), docs.tolist(), (at - base).tolist(), crowd.tolist()
-        ):
-            body = chunk.buffer[a:b]
-            sid = known.get(body)
-            if sid is None:
-                sid = known[body] = len(known)
-                windows.append(k)
-                buckets.append(zlib.crc32(body) % n_buckets if single else bucket)
-            occurrence.append((sid, doc, window))
+        buffer, before = chunk.buffer, len(known)
+        own = [buffer[a:b] for a, b in zip(chunk.low[at].tolist(), chunk.high[at + count + n - 2].tolist())]
+        sid = np.array([known.setdefault(body, len(known)) for body in own])
+        occurrence.append(np.stack([sid, docs, at - base], axis=1))
+        new, first = np.unique(sid, return_index=True)
+        first = first[new >= before]  # in order of their numbers, as numbers are given in order of appearance
+        if len(first):
+            crowd, hashed = crowd[first], mix(mark[first])
+            whole = np.array([zlib.crc32(own[i]) for i in first[crowd].tolist()], dtype=np.uint64)
+            hashed[crowd] = mix(whole)
+            windows.append(count[first])
+            hashes.append(hashed)
+    if not occurrence:
+        none = np.zeros(0, dtype=np.int64)
+        return Strings([], none, none, none.astype(np.uint16), none, none, np.zeros((0, 3), dtype=np.int64))
+    occurrence, hashed = np.concatenate(occurrence), np.concatenate(hashes)
     least = np.full(len(known), NO_ID)
     most = np.full(len(known), np.iinfo(np.int64).min)
-    if occurrence:
-        sid = np.array([o[0] for o in occurrence])
-        owner = ids[np.array([o[1] for o in occurrence])]
-        np.minimum.at(least, sid, owner)
-        np.maximum.at(most, sid, owner)
-    return Strings(list(known), windows, buckets, least, most, occurrence)
+    owner = ids[occurrence[:, 1]]
+    np.minimum.at(least, occurrence[:, 0], owner)
+    np.maximum.at(most, occurrence[:, 0], owner)
+    buckets = (hashed % np.uint64(n_buckets)).astype(np.int64)
+    return Strings(list(known), np.concatenate(windows), buckets, (hashed >> np.uint64(48)).astype(np.uint16), least, most, occurrence)
 
 
 #: Distinct strings and how many windows each has, to a class number for every window.
 Classes = Callable[[list[bytes], np.ndarray], np.ndarray]
 
 
+def _labels(strings: list[bytes], n_windows: np.ndarray, slices: np.ndarray, classes: Classes, size: int = SLICE) -> np.ndarray:
+    """``classes`` of the strings, a slice at a time; strings of two slices have no window in common."""
+    n_slices = -(-sum(map(len, strings)) // size)
+    if n_slices < 2:
+        return classes(strings, n_windows)
+    which = slices.astype(np.int64) * n_slices >> 16
+    label = np.zeros(n_windows.sum(), dtype=np.int64)
+    place, order = np.cumsum(n_windows) - n_windows, np.argsort(which, kind="stable")
+    number = 0
+    for own in np.split(order, np.flatnonzero(run_starts(which[order]))[1:]):
+        n = n_windows[own]
+        found = classes([strings[i] for i in own.tolist()], n)
+        if len(found):
+            label[np.repeat(place[own], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] = found + number
+            number += int(found.max()) + 1
+    return label
+
+
 def _owned(rows: list[tuple], classes: Classes) -> Iterator[tuple[int, list]]:
     """Per part: runs (string, first window, windows, owner) that a smaller id owns."""
+    if not rows:
+        return
     known: dict[bytes, int] = {}
-    merged = []
-    for part, (sids, windows, least, most, body, ends) in rows:
-        at = 0
-        own = []
-        for end in ends.tolist():
-            own.append(known.setdefault(body[at:end], len(known)))
-            at = end
-        merged.append((part, sids, np.array(own, dtype=np.int64), windows, least, most))
-    n_windows = np.zeros(len(known), dtype=np.int64)
+    own = []
+    for _, (*_, body, ends) in rows:
+        ends = ends.tolist()
+        own += [known.setdefault(body[a:b], len(known)) for a, b in zip([0, *ends], ends)]
+    own = np.array(own, dtype=np.int64)
+    sids, windows, slices, least, most = (np.concatenate([payload[i] for _, payload in rows]) for i in range(5))
+    sender = np.repeat(np.arange(len(rows)), [len(payload[0]) for _, payload in rows])
+    n_windows, slice_of = np.zeros(len(known), dtype=np.int64), np.zeros(len(known), dtype=np.uint16)
+    n_windows[own], slice_of[own] = windows, slices
     floor = np.full(len(known), NO_ID)
-    for _, _, own, windows, least, _ in merged:
-        n_windows[own] = windows
-        np.minimum.at(floor, own, least)
-    label = classes(list(known), n_windows)
+    np.minimum.at(floor, own, least)
+    label = _labels(list(known), n_windows, slice_of, classes)
     n_labels = int(label.max()) + 1 if len(label) else 0
     owner = np.full(n_labels, NO_ID)
     np.minimum.at(owner, label, np.repeat(floor, n_windows))
@@ -250,15 +283,15 @@ def _owned(rows: list[tuple], classes: Classes) -> Iterator[tuple[int, list]]:
     # Runs of a string lie side by side.
     run_from = np.searchsorted(string[starts], np.arange(len(known)))
     run_to = np.searchsorted(string[starts], np.arange(len(known)), side="right")
-    for part, sids, own, _, _, most in merged:
-        reps = run_to[own] - run_from[own]
-        run = np.repeat(run_from[own], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-        useful = owner[starts[run]] < np.repeat(most, reps)
-        run = run[useful]
-        if len(run):
-            sid = np.repeat(sids, reps)[useful]
-            offset = starts[run] - begin[string[starts[run]]]
-            yield part, [sid.astype(np.int32), offset.astype(np.int32), count[run].astype(np.int32), owner[starts[run]]]
+    reps = run_to[own] - run_from[own]
+    run = np.repeat(run_from[own], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
+    useful = owner[starts[run]] < np.repeat(most, reps)
+    run, sids, sender = run[useful], np.repeat(sids, reps)[useful], np.repeat(sender, reps)[useful]
+    offset = starts[run] - begin[string[starts[run]]]
+    found = [sids.astype(np.int32), offset.astype(np.int32), count[run].astype(np.int32), owner[starts[run]]]
+    heads = np.flatnonzero(run_starts(sender)).tolist()
+    for a, b in zip(heads, [*heads[1:], len(sender)]):
+        yield rows[sender[a]][0], [column[a:b] for column in found]
 
 
 def covered_units(n_units: int, starts: np.ndarray, counts: np.ndarray, width: int) -> np.ndarray:
@@ -269,6 +302,11 @@ def covered_units(n_units: int, starts: np.ndarray, counts: np.ndarray, width: i
     return np.cumsum(change[:-1]) > 0
 
 
+def parts_of(size: int) -> int:
+    """Parts that ``size`` bytes of text are dealt into."""
+    return max(-(-size // PART_BYTES), min(-(-size // FEW_BYTES), FEW_PARTS))
+
+
 def remove_repeats(
     docs: DataFrame, units: Units, classes: Classes, finish: Callable[[bytes, np.ndarray], tuple],
     schema: str, parts: int | None = None, crowded: int = CROWDED,
@@ -279,10 +317,10 @@ def remove_repeats(
     smaller doc_id. A null text is empty. Null ids sort last and count as one id, that of the
     largest long; rows with one id do not remove each other's text. ``parts`` is how many
     parts the corpus is dealt into; a part's text is in one task's memory, so it follows the bytes of
-    text (``PART_BYTES`` each) by default. A single text is never cut and takes some 50 times its bytes there.
+    text by default (see ``parts_of``). A single text is never cut and takes some 50 times its bytes there.
     """
     need(docs, "doc_id", "text")
-    parts = parts or -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 1) // PART_BYTES)
+    parts = parts or parts_of(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 1)
     ids = F.col("doc_id").cast("long")
     dealt = docs.select(
         F.coalesce(ids, F.lit(NO_ID)).alias("doc_id"), ids.isNull().alias("no_id"), text_or_empty().alias("text"),
@@ -315,13 +353,13 @@ def remove_repeats(
     def send(key, table, marks):
         ids, bodies = _ordered(table)
         s = _strings(ids, bodies, units, *merged_marks([unpacked(p.as_py()) for p in marks["payload"]]), parts)
-        to = np.array(s.buckets, dtype=np.int64)
+        to, out = s.buckets, []
         order = np.argsort(to, kind="stable")
         starts = np.flatnonzero(run_starts(to[order]))
-        windows, out = np.array(s.windows, dtype=np.int32), []
+        windows = s.windows.astype(np.int32)
         for piece in np.split(order, starts[1:]) if len(order) else []:
             own = [s.bodies[i] for i in piece.tolist()]
-            out.append(packed(piece.astype(np.int32), windows[piece], s.least[piece], s.most[piece],
+            out.append(packed(piece.astype(np.int32), windows[piece], s.slices[piece], s.least[piece], s.most[piece],
                               b"".join(own), np.cumsum([len(b) for b in own])))
         return pa.table({
             "bucket": pa.array(to[order][starts], pa.int32()), "part": pa.array([key[0].as_py()] * len(out), pa.int32()),
@@ -343,11 +381,11 @@ def remove_repeats(
         s = _strings(ids, bodies, units, *merged_marks([p for k, p in kinds if k == 0]), parts)
         runs = [p for k, p in kinds if k == 1]
         spans_of: list[list] = [[] for _ in bodies]
-        if runs and s.occurrence:
+        if runs and len(s.occurrence):
             sid, offset, count, owner = (np.concatenate([r[i] for r in runs]) for i in range(4))
             order = np.argsort(sid, kind="stable")
             sid, offset, count, owner = sid[order], offset[order], count[order], owner[order]
-            own = np.array(s.occurrence, dtype=np.int64)
+            own = s.occurrence
             begin, end = np.searchsorted(sid, own[:, 0]), np.searchsorted(sid, own[:, 0], side="right")
             reps = end - begin
             run = np.repeat(begin, reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)

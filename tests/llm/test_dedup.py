@@ -203,6 +203,23 @@ def test_induced_order_and_common_prefixes():
         assert len(set(zip(got, want))) == len(set(want)) == len(set(got))
 
 
+def test_only_strings_with_windows_that_recur_are_put_in_order(monkeypatch):
+    rng = random.Random(6)
+    strings = list(dict.fromkeys(bytes(rng.choice(b"abcdefgh") for _ in range(rng.randint(8, 14))) for _ in range(300)))
+    strings += [s[2:] + b"xy" for s in strings[:40]]
+    n = np.array([len(s) - 7 for s in strings])
+    held, induced = [], suffix.induced
+    monkeypatch.setattr(suffix, "induced", lambda text, *more: held.append(len(text)) or induced(text, *more))
+    got = suffix.suffix_classes(8)(strings, n).tolist()
+    want = [s[j:j + 8] for s, k in zip(strings, n) for j in range(k)]
+    assert len(set(zip(got, want))) == len(set(want)) == len(set(got))
+    count = collections.Counter(want)
+    again = [s for s, k in zip(strings, n) if any(count[s[j:j + 8]] > 1 for j in range(k))]
+    assert held == [sum(len(s) + 1 for s in again)] and len(again) < len(strings) / 2
+    monkeypatch.setattr(suffix, "grams", lambda codes, k: np.zeros(len(codes) - k + 1, dtype=np.uint64))
+    assert len(set(zip(suffix.suffix_classes(8)(strings, n).tolist(), want))) == len(set(want))  # hashes decide nothing
+
+
 def test_window_classes_tell_windows_with_one_hash_apart(monkeypatch):
     monkeypatch.setattr(superkmer, "spans", lambda sums, a, b: np.zeros(len(a), dtype=np.uint64))
     strings = [b"a b c d", b"b c d e", b"x y", b"a b z"]
@@ -211,6 +228,42 @@ def test_window_classes_tell_windows_with_one_hash_apart(monkeypatch):
     assert len(set(zip(got, want))) == len(set(want)) == len(set(got))
 
 
+def test_payloads_of_a_large_corpus_are_few():
+    """Each part sends a payload to each bucket: 12,000 parts of 48 GB would send 150 million, three times."""
+    assert superkmer.parts_of(1) == 1 and superkmer.parts_of(180 << 20) == 45
+    assert superkmer.parts_of(900 << 20) == 64 and superkmer.parts_of(10 << 30) == 640
+    for gb in (1, 10, 48):
+        assert superkmer.parts_of(gb << 30) ** 2 <= gb * gb * 5000
+
+
+@pytest.mark.parametrize("crowded", [False, True])
+def test_equal_windows_of_several_parts_meet_in_one_slice_of_one_bucket(crowded):
+    rng = random.Random(4)
+    shared = [bytes(rng.choice(b"abcd") for _ in range(60)) for _ in range(8)]
+    units, rows, windows = superkmer.Units(False, 12, 5), [], collections.defaultdict(set)
+    for part in range(3):
+        bodies = [b"".join(rng.choice([*shared, b"%d" % rng.getrandbits(40)]) for _ in range(9)) for _ in range(4)]
+        chunk = next(superkmer.chunks_of(bodies, False))
+        marks = np.unique(superkmer.super_kmers(chunk, units)[2])
+        ids = np.arange(4) + 10 * part
+        s = superkmer._strings(ids, bodies, units, marks, np.full(len(marks), crowded), 3)
+        for body, n, to, own in zip(s.bodies, s.windows.tolist(), s.buckets.tolist(), s.slices.tolist()):
+            for j in range(n):
+                windows[body[j:j + 12]].add((to, own))
+        assert {(b[j:j + 12], int(i)) for i, b in zip(ids, bodies) for j in range(len(b) - 11)} == {
+            (s.bodies[sid][j:j + 12], int(ids[doc])) for sid, doc, _ in s.occurrence.tolist() for j in range(s.windows[sid])}
+        ends = np.cumsum([len(b) for b in s.bodies])
+        rows.append((part, [np.arange(len(s.bodies)), s.windows, s.slices, s.least, s.most, b"".join(s.bodies), ends]))
+    assert all(len(where) == 1 for where in windows.values())
+    strings = dict(zip((b for _, r in rows for b in [r[5][a:e] for a, e in zip([0, *r[6]], r[6])]), (int(n) for _, r in rows for n in r[1])))
+    slices = {b: int(w) for _, r in rows for b, w in zip([r[5][a:e] for a, e in zip([0, *r[6]], r[6])], r[2])}
+    n = np.array(list(strings.values()))
+    want = [b[j:j + 12] for b, k in strings.items() for j in range(k)]
+    for classes in (suffix.suffix_classes(12), superkmer.window_classes(units)):
+        got = superkmer._labels(list(strings), n, np.array(list(slices.values()), dtype=np.uint16), classes, size=200).tolist()
+        assert len(set(zip(got, want))) == len(set(want)) == len(set(got))
+
+
 def test_a_hot_passage_sends_one_string_per_part(spark):
     rng = random.Random(2)
     passage = prose(rng, 30, 10 ** 6)
