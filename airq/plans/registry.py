@@ -112,7 +112,7 @@ def summary_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     The tables are made once per application, from the readings of even and odd years.
     """
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _sums:
+    if not store.whole(spark, *_sums.get(key, [])):
         df = tables.readings(spark, sf_dir)
         even = F.coalesce(F.col("year") % 2 == 0, F.lit(True))
         parts = [summary.partial_sums(df.filter(even)), summary.partial_sums(df.filter(~even))]
@@ -121,6 +121,7 @@ def summary_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
         folders = [store.new_folder(spark, "sums") for _ in parts]
         for part, folder in zip(parts, folders):
             part.write.parquet(folder)
+        store.note(spark, *folders)
         _sums[key] = folders
     return summary.summary_report(summary.merge_sums(*[spark.read.parquet(folder) for folder in _sums[key]]))
 
@@ -132,13 +133,14 @@ _bitmaps: dict[tuple, str] = {}
 def site_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct sites per month, quarter and of all time from bitmaps that are stored once per application."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _bitmaps:
+    if key not in _bitmaps or not store.whole(spark, _bitmaps[key]):
         df = tables.readings(spark, sf_dir)
         made = sites.site_bitmaps(df, sites.site_codes(df))
         if store.work_folder(spark) is None:
             return sites.site_counts(made)
         folder = store.new_folder(spark, "bitmaps")
         made.write.parquet(folder)
+        store.note(spark, folder)
         _bitmaps[key] = folder
     return sites.site_counts(spark.read.parquet(_bitmaps[key]))
 
@@ -153,12 +155,13 @@ def clustered_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One state and pollutant over some seasons, from the files that the zone table names."""
     df = tables.readings(spark, sf_dir)
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _clustered:
+    if key not in _clustered or not store.whole(spark, _clustered[key]):
         if store.work_folder(spark) is None:
             chosen = (F.col("state") == STATE) & (F.col("primary_pollutant") == POLLUTANTS[0])
             return df.filter(chosen & F.col("date").between(F.lit(FIRST_DAY), F.lit(LAST_DAY)))
         folder = store.new_folder(spark, "clustered")
         clustered.write_clustered(df, folder, CLUSTER_FILES)
+        store.note(spark, folder)
         _clustered[key] = folder
     return clustered.clustered_slice(spark, _clustered[key], df.schema, [STATE], FIRST_DAY, LAST_DAY, POLLUTANTS[:1])
 

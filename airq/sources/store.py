@@ -14,6 +14,32 @@ from airq.sources.files import fingerprint, input_files
 
 # (application, name) -> (path of the copy, frame that reads it, fingerprint of its input files)
 _kept: dict[tuple, tuple[str, DataFrame, tuple | None]] = {}
+# path of a copy -> number and bytes of its files when it had been written
+_written: dict[str, tuple[int, int] | None] = {}
+
+
+def _files(spark: SparkSession, path: str) -> tuple[int, int] | None:
+    """Number and bytes of the files under ``path``, None if it is gone. They are listed, not opened."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(place):
+        return None
+    held = system.getContentSummary(place)
+    return held.getFileCount(), held.getLength()
+
+
+def note(spark: SparkSession, *paths: str) -> None:
+    """Remember what the copies at ``paths``, just written, consist of."""
+    for path in paths:
+        _written[path] = _files(spark, path)
+
+
+def whole(spark: SparkSession, *paths: str) -> bool:
+    """Whether there are copies at ``paths`` and all have the files that ``note`` saw.
+
+    Work folders are cleared by other hands, also while an application runs; a copy that is not whole is made anew.
+    """
+    return bool(paths) and all(_written.get(path) is not None and _files(spark, path) == _written[path] for path in paths)
 
 
 def work_folder(spark: SparkSession, folder: str | None = None) -> str | None:
@@ -71,7 +97,8 @@ def stored(
 ) -> DataFrame:
     """The stored copy of ``build()``, written on the first call per application.
 
-    ``name`` identifies it. The frame that reads the copy is kept, so later calls touch no file. With
+    ``name`` identifies it. The frame that reads the copy is kept; later calls open no file, they list those
+    of the copy and write it anew if any is gone. With
     ``refresh`` the files under ``inputs`` are listed once more, in bulk, and the copy is written anew if
     any was added, removed or rewritten (``snapshots`` follows single files instead).
     Without a shared folder the lazy plan is returned with a warning, which gives the
@@ -82,8 +109,9 @@ def stored(
         warnings.warn("no shared folder (spark.checkpoint.dir): the cleaned table is not stored", stacklevel=2)
         return build()
     key, inputs = (spark.sparkContext.applicationId, name), list(inputs)
-    found = fingerprint(input_files(spark, inputs)) if inputs and (refresh or key not in _kept) else None
-    if key in _kept and (found is None or found == _kept[key][2]):
+    held = key in _kept and whole(spark, _kept[key][0])
+    found = fingerprint(input_files(spark, inputs)) if inputs and (refresh or not held) else None
+    if held and (found is None or found == _kept[key][2]):
         path, kept, found = _kept[key]
         if kept.sparkSession is not spark:
             kept = load_readings(spark, path, kept.schema)
@@ -91,6 +119,7 @@ def stored(
         readings = build()
         path = new_folder(spark, "readings", base)
         write_readings(readings, path)
+        note(spark, path)
         kept = load_readings(spark, path, readings.schema)
     _kept[key] = (path, kept, found)
     return kept

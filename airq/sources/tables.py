@@ -18,7 +18,7 @@ from airq.functions.cells import aqi_band
 from airq.sources.readings import clean, missing_to_null, read_readings
 from airq.sources.rejects import Intake, take_in
 from airq.sources.snapshots import load_snapshot, refresh
-from airq.sources.store import new_folder, stored, work_folder
+from airq.sources.store import new_folder, note, stored, whole, work_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -121,9 +121,10 @@ def readings_through_csv(spark: SparkSession, sf_dir: str, folder: str | None =
     """The cleaned table, by way of one CSV copy per application in the shared folder."""
     folder = _shared(spark, folder)
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _csv:
+    if key not in _csv or not whole(spark, _csv[key]):
         path = new_folder(spark, "csv", folder)
         write_raw_csv(raw_readings(spark, sf_dir), path)
+        note(spark, path)
         _csv[key] = path
     return clean(read_readings(spark, _csv[key]))
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import os
+from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
 from conftest import tuples
 
+from airq.plans import registry
 from airq.sources import store, tables
 
 SF = "/root/testdata/sf0.001"
@@ -88,6 +90,37 @@ def test_later_queries_of_a_session_touch_no_file(spark, tmp_path, monkeypatch):
     assert store.stored(spark, "quiet", None, [str(tmp_path)]) is first
 
 
+def test_a_copy_that_lost_files_is_written_anew(spark):
+    def build():
+        return tables.cleaned_readings(spark, SF)
+
+    want = sorted(tuples(build()), key=str)
+    copies = [store.stored(spark, "cleared", build)]
+    for lost in (lambda path: [path], lambda path: [next(Path(path).rglob("part-*.parquet"))]):
+        for gone in lost(store.stored_path(spark, "cleared").removeprefix("file://")):
+            delete(spark, gone)
+        copies.append(store.stored(spark, "cleared", build))
+        assert copies[-1] is not copies[-2] and sorted(tuples(copies[-1]), key=str) == want
+        assert store.stored(spark, "cleared", build) is copies[-1]
+
+
+def delete(spark, path):
+    place = spark._jvm.org.apache.hadoop.fs.Path(str(path))
+    assert place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def test_queries_run_again_after_the_work_folder_was_cleared(spark, monkeypatch):
+    for module, name in ((store, "_kept"), (tables, "_csv"), (registry, "_sums"), (registry, "_bitmaps"), (registry, "_clustered")):
+        monkeypatch.setattr(module, name, {})
+    base = Path(store.work_folder(spark).removeprefix("file://"))
+    names = ["annual_summary", "clustered_slice", "footer_profile", "site_counts", "summary_rollup", "read_readings"]
+    before = set(base.glob("airq-*"))
+    want = {name: sorted(tuples(registry.queries()[name](spark, SF)), key=str) for name in names}
+    for copy in set(base.glob("airq-*")) - before:
+        delete(spark, copy)
+    assert {name: sorted(tuples(registry.queries()[name](spark, SF)), key=str) for name in names} == want
+
+
 def test_one_csv_copy_per_application(spark, tmp_path):
     for _ in range(2):
         tables.readings_through_csv(spark, SF, str(tmp_path))
