@@ -41,11 +41,11 @@ from airq.llm.shared import NO_ID, need, packed, text_or_empty, unpacked
 CHUNK = 1 << 18
 #: Text bytes of a part. A part's text, and the strings it sends, are in one task's memory. Parts send to all
 #: buckets, of which there are as many, so payloads grow with the square of parts: they are few and large.
-PART_BYTES = 16 << 20
+PART_BYTES = 12 << 20
 #: A small corpus is dealt into up to so many parts, of so many bytes at least, to keep all cores busy.
 FEW_PARTS, FEW_BYTES = 64, 4 << 20
 #: Bytes of a bucket's strings whose windows are put in order at a time.
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: Super-k-mers of one minimiser, over all parts, above which it counts as crowded.
 CROWDED = 20_000
 
