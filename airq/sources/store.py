@@ -42,12 +42,34 @@ def whole(spark: SparkSession, *paths: str) -> bool:
     return bool(paths) and all(_written.get(path) is not None and _files(spark, path) == _written[path] for path in paths)
 
 
+# (application, folder) -> whether what tasks write there comes back
+_comes_back: dict[tuple, bool] = {}
+
+
+def comes_back(spark: SparkSession, folder: str) -> bool:
+    """Whether the driver and other tasks find what tasks write to ``folder``; tried once per application.
+
+    Files go out from several tasks a core and are read again. Where machines do not share the folder,
+    some are missing or the attempt fails, in whichever way: then the answer is no.
+    """
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _comes_back:
+        try:
+            n, path = 4 * spark.sparkContext.defaultParallelism, f"{folder.rstrip('/')}/airq-probe-{uuid.uuid4().hex}"
+            spark.range(0, n, 1, n).write.parquet(path)
+            _comes_back[key] = spark.read.schema("id long").parquet(path).distinct().count() == n
+        except Exception:
+            _comes_back[key] = False
+    return _comes_back[key]
+
+
 def work_folder(spark: SparkSession, folder: str | None = None) -> str | None:
     """Folder that every executor can reach, or None, on any kind of master.
 
     ``folder`` if given, else the one named in ``spark.checkpoint.dir``, else the
     context's checkpoint folder. On a cluster a path that is local to each machine
-    is refused: one without a scheme while the default file system is the local one.
+    is refused: one without a scheme while the default file system is the local one, unless
+    it is shared all the same (a mounted folder, or all on one machine), see ``comes_back``.
     The executors of ``local-cluster`` are processes of one machine and share its paths.
     """
     context = spark.sparkContext
@@ -57,7 +79,7 @@ def work_folder(spark: SparkSession, folder: str | None = None) -> str | None:
     one_machine = context.master.split("[")[0] in ("local", "local-cluster")
     if not one_machine and ":" not in folder:
         default = context._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
-        if default.startswith("file:"):
+        if default.startswith("file:") and not comes_back(spark, folder):
             raise ValueError(f"{folder} is local to each machine; name a shared folder with its scheme")
     return folder.rstrip("/")
 

@@ -43,6 +43,23 @@ def test_a_folder_of_each_machine_is_refused_on_a_cluster():
         store.work_folder(session("/tmp/checkpoints", "spark://host:7077"))
 
 
+def test_a_plain_path_that_all_machines_share_serves_a_cluster(spark, tmp_path):
+    def cluster(read, folder):
+        made = session(str(folder), "spark://host:7077")
+        made.sparkContext.defaultParallelism, made.range, made.read = 2, spark.range, read
+        return made
+
+    class Lossy:
+        """Reads as on a cluster where one machine's files are out of reach."""
+
+        schema = staticmethod(lambda ddl: Lossy)
+        parquet = staticmethod(lambda path: spark.read.parquet(path).filter("id > 1"))
+
+    assert store.work_folder(cluster(spark.read, tmp_path / "a")) == str(tmp_path / "a")
+    with pytest.raises(ValueError, match="local to each machine"):
+        store.work_folder(cluster(Lossy, tmp_path / "b"))
+
+
 @pytest.mark.parametrize("master", ["local", "local[8]", "local[*]", "local-cluster[3,2,3000]"])
 def test_a_plain_path_serves_executors_on_one_machine(master):
     assert store.work_folder(session("/tmp/checkpoints", master)) == "/tmp/checkpoints"
